@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leakage, spans, split, tokens
+from . import invalid, leakage, spans, split, tokens
 from .common import code_records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p2_shared(spark: SparkSession, directory: str) -> DataFrame:
     return spans.SharedSpans(table(spark, directory, "detailed_files")).shared_characters()
 
 
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    return invalid.invalid_files(table(spark, directory, "detailed_files"))
+
+
+def p6_rates(spark: SparkSession, directory: str) -> DataFrame:
+    return invalid.invalid_rates(table(spark, directory, "detailed_files"))
+
+
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return split.split_oversized(code_records(table(spark, directory, "detailed_files")))
 
@@ -32,4 +40,4 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_shared, p7_found, p8_ids, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_shared, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
