@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import invalid, leakage, spans, split, tokens
+from . import docpairs, invalid, leakage, prose, spans, split, tokens
 from .common import code_records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,22 @@ def p2_shared(spark: SparkSession, directory: str) -> DataFrame:
     return spans.SharedSpans(table(spark, directory, "detailed_files")).shared_characters()
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return docpairs.doc_lines(table(spark, directory, "detailed_files"))
+
+
+def p4_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    return docpairs.doc_pairs(table(spark, directory, "detailed_files"))
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return prose.file_languages(table(spark, directory, "detailed_files")).select("file_id", "lang")
+
+
+def p5_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return prose.file_languages(table(spark, directory, "detailed_files"))
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return invalid.invalid_files(table(spark, directory, "detailed_files"))
 
@@ -40,4 +56,4 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_shared, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_shared, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
