@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import docpairs, invalid, leakage, prose, spans, split, tokens
+from . import credentials, docpairs, invalid, leakage, prose, spans, split, tokens
 from .common import code_records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p2_shared(spark: SparkSession, directory: str) -> DataFrame:
     return spans.SharedSpans(table(spark, directory, "detailed_files")).shared_characters()
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, directory, "detailed_files"))
+
+
+def p3_masked(spark: SparkSession, directory: str) -> DataFrame:
+    return credentials.mask_credentials(table(spark, directory, "detailed_files"))
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return docpairs.doc_lines(table(spark, directory, "detailed_files"))
 
@@ -56,4 +64,4 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_shared, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
