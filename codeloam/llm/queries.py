@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, docpairs, invalid, leakage, prose, spans, split, tokens
+from . import credentials, docpairs, generated, invalid, leakage, prose, spans, split, tokens
 from .common import code_records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return generated.not_handwritten(table(spark, directory, "detailed_files")).select("file_id")
+
+
+def p1_kinds(spark: SparkSession, directory: str) -> DataFrame:
+    return generated.not_handwritten(table(spark, directory, "detailed_files"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return spans.SharedSpans(table(spark, directory, "detailed_files")).record_pairs()
 
@@ -64,4 +72,4 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
