@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, docpairs, generated, invalid, leakage, prose, spans, split, tokens
+from . import credentials, docpairs, generated, invalid, leakage, prose, residue, spans, split, tokens
 from .common import code_records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,4 +72,16 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    return residue.find_residue(table(spark, directory, "documents")).select("doc_id")
+
+
+def p10_kinds(spark: SparkSession, directory: str) -> DataFrame:
+    return residue.find_residue(table(spark, directory, "documents"))
+
+
+def p10_kept(spark: SparkSession, directory: str) -> DataFrame:
+    return residue.without_residue(table(spark, directory, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found, p10_found, p10_kinds, p10_kept)}

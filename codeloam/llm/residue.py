@@ -1,0 +1,152 @@
+"""Problem 10: template residue, filler, error pages and script notices instead of content."""
+
+from __future__ import annotations
+
+import re
+from functools import cache
+
+import ahocorasick
+from pyspark.sql import DataFrame
+
+from .common import map_rows
+
+#: Phrases of error pages, failed services, script notices and stand-in text, by kind, in lower case.
+PHRASES = {
+    "error": """explanation unavailable|the model service did not respond in time|did not respond in time|please retry later|rate limit exceeded|too many requests|for key #|request id
+oops!|something went wrong|on our side|on our end|try again in|try again later|please try again|minutes|the requested page|the requested url|could not be shown|could not be found|was not found on this server|was not found|does not exist|page not found|reference
+access to this page was denied|access to this page has been denied|access denied|permission denied|you don't have permission|please go back|contact the site owner|contact the administrator|internal server error|service unavailable|service temporarily unavailable|the service is temporarily unavailable|the service is currently unavailable|bad gateway|gateway timeout|gateway time-out|bad request|not found|forbidden|unauthorized|an error occurred|an error has occurred|unexpected error|while processing your request|no response from the model|the model returned no answer|quota exceeded|session expired|your session has expired|please log in|please sign in|to continue|connection timed out|request timed out|failed to load|failed to generate|could not be generated|no explanation available|analysis failed|unable to connect|the server
+der dienst ist zurzeit nicht erreichbar|ist zurzeit nicht erreichbar|derzeit nicht verfügbar|nicht erreichbar|bitte versuchen sie es später erneut|versuchen sie es später|die angeforderte seite|wurde nicht gefunden|nicht gefunden|zugriff verweigert|bitte melden sie sich an|melden sie sich an|etwas ist schiefgelaufen|ein fehler ist aufgetreten|interner serverfehler|zu viele anfragen|keine berechtigung|fehler
+le service est momentanément indisponible|momentanément indisponible|service indisponible|est indisponible|veuillez réessayer plus tard|réessayer plus tard|la page demandée|est introuvable|introuvable|accès refusé|accès interdit|veuillez vous connecter|une erreur est survenue|une erreur s'est produite|erreur interne du serveur|trop de requêtes|erreur|la page
+el servicio no está disponible en este momento|no está disponible|en este momento|inténtelo más tarde|inténtelo de nuevo|no se encuentra la página|la página solicitada|no se ha encontrado|no encontrada|acceso denegado|inicie sesión para continuar|inicie sesión|algo ha salido mal|se ha producido un error|ha ocurrido un error|error interno del servidor|demasiadas solicitudes
+o serviço não está disponível|serviço indisponível|tente novamente mais tarde|a página solicitada|não foi encontrada|não encontrada|acesso negado|faça login para continuar|algo deu errado|ocorreu um erro|erro interno do servidor""",
+    "scripts": """please enable javascript|enable javascript|in your browser|to view this page|to continue using this|to use this app|to run this app|this site needs javascript|this site requires javascript|this page requires javascript|requires javascript|javascript is required|javascript is disabled|javascript must be enabled|loading|you need to enable javascript|you need to turn on scripts|turn on scripts|turn on javascript|your browser does not support|please activate javascript|scripts are disabled|enable scripts
+bitte aktivieren sie javascript|aktivieren sie javascript|um diese seite zu sehen|um diese seite anzuzeigen|diese seite benötigt javascript|javascript ist deaktiviert|in ihrem browser|wird geladen
+veuillez activer javascript|activez javascript|pour afficher cette page|cette page nécessite javascript|dans votre navigateur|javascript est désactivé|chargement
+active javascript|en su navegador|para ver esta página|esta página necesita javascript|esta página requiere javascript|javascript está desactivado|habilite javascript|cargando
+ative o javascript|habilite o javascript|no seu navegador|para ver esta página|esta página precisa de javascript|carregando""",
+    "filler": """this is sample text|replace it with your own words|before you publish the page|before publishing|this is placeholder text|placeholder text|this text will be replaced|sample text|your text here|add your text here|content goes here|text goes here|click here to edit|dummy text|filler text|coming soon|under construction|this page is under construction|just another website|hello world! welcome to
+dies ist ein blindtext|dies ist ein beispieltext|hier steht ihr text|hier kommt ihr text hin|ersetzen sie ihn|ersetzen sie diesen text|vor der veröffentlichung|bevor sie die seite veröffentlichen|durch ihre eigenen worte|durch ihren eigenen text|platzhaltertext|hier steht später|der eigentliche text|blindtext|beispieltext|der vor dem veröffentlichen ersetzt wird|wird noch ersetzt|mustertext
+ceci est un texte d'exemple|ceci est un texte de remplissage|texte de remplissage|ceci est un faux texte|faux texte|remplacez-le par|vos propres mots|avant de publier|avant la publication|qui sera remplacé|votre texte ici|contenu à venir|à remplacer
+este es un texto de relleno|texto de relleno|texto de ejemplo|que se cambiará antes de publicar|antes de publicar|sustitúyalo por|sus propias palabras|su texto aquí|próximamente|en construcción
+este é um texto de exemplo|este é um texto provisório|texto de preenchimento|substitua-o|suas próprias palavras|seu texto aqui|em breve|em construção""",
+}
+#: Words of the usual filler in made-up Latin.
+LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum ornare nocte ruris vestra quodis calida imber tellus plurem silvam vacat porta mentis novam terram".split())
+#: Part of a passage that must be matched, by characters, and its least size.
+COVERED, LEAST = 0.6, 12
+_FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
+_STATUS = re.compile(r"(?i)\W*(?:http\s+|error:?\s+|status:?\s+)?[45]\d\d\s*[:\-–|]?\s*(?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|gateway time-?out|service (?:temporarily )?unavailable|internal server error|too many requests|gone|method not allowed|request time-?out|payment required|conflict|not acceptable)\W*")
+_UNFILLED = re.compile(
+    r"\{\{\{?\s*[\w.\-|\s]{1,60}\s*\}?\}\}|\$\{\s*[\w.\-]{1,60}\s*\}|\{%[^%\n]{1,80}%\}|<%=?[^%\n]{1,80}%>|@@[A-Za-z_][\w.\-]*@@|%%[A-Za-z_]\w*%%|\[%[^%\n]{1,60}%\]|(?<!\w)##[A-Z][A-Z_]+##|(?<!\w)__[A-Z][A-Z_]{2,}__(?!\w)"
+    r"|<(?:INSERT|ADD|ENTER|YOUR|REPLACE)[ _][A-Z0-9 _]{2,60}>|\[(?:INSERT|ADD|ENTER|YOUR|REPLACE|TODO|TBD)\b[^\]\n]{0,60}\]"
+    r"|(?i:\[(?:(?:please\s+)?(?:insert|add|enter|describe|write|put|replace|fill in)\b[^\]\n]{0,60}|[^\]\n]{0,60}\bgoes here|[^\]\n]{1,60}\bhere|your [a-z ]{2,40}|hier\b[^\]\n]{0,60}|[^\]\n]{0,60}\beinfügen|[^\]\n]{0,60}\bici|(?:insérer|décrire|ajouter)\b[^\]\n]{0,60}|[^\]\n]{0,60}\baquí|(?:insertar|insertad|describir|añadir|describa|inserte)\b[^\]\n]{0,60}|[^\]\n]{0,60}\baqui|(?:inserir|descrever)\b[^\]\n]{0,60}|tbd|todo)\](?!\())"
+)
+#: Words of sentences whose subject is a placeholder, so that it is meant to be there.
+_SUBJECT = re.compile(
+    r"(?i)\b(?:templates?|placeholders?|variables?|snippets?|renderer|(?:words|marks|markers|tags) such as|authors? writes?|site builder|syntax|escaped?|interpolat\w+|vorlagen?|platzhalter|gabarits?|plantillas?|marcador(?:es)?|espaces? réservés?)\b"
+)
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|\n+")
+_WORD = re.compile(r"[^\W\d_]+")
+_QUOTED = re.compile(r"`[^`\n]+`|[\"“«„][^\"”»“\n]{3,80}[\"”»“]")
+
+
+@cache
+def _automaton() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for kind, text in PHRASES.items():
+        for phrase in text.replace("\n", "|").split("|"):
+            out.add_word(phrase, (kind, len(phrase)))
+    out.make_automaton()
+    return out
+
+
+def _phrases(line: str) -> str | None:
+    """The kind of the phrases that cover most of a line, if they do."""
+    if len(line) > 600 or "`" in line:  # phrases beside identifiers are what a text is about
+        return None
+    low = line.lower()
+    if len(low) != len(line):
+        low = line
+    covered = bytearray(len(line))
+    kinds: dict[str, int] = {}
+    for end, (kind, n) in _automaton().iter(low):
+        start = end + 1 - n
+        before, after = low[start - 1 : start], low[end + 1 : end + 2]
+        if before.isalnum() or after.isalnum() and low[end].isalnum():
+            continue
+        kinds[kind] = max(kinds.get(kind, 0), n)
+        covered[start : end + 1] = b"\x01" * n
+    if not kinds:
+        return None
+    own = [k for k, c in enumerate(line) if c.isalpha()]
+    matched = sum(covered[k] for k in own)
+    if max(kinds.values()) < LEAST and matched < 2 * LEAST or matched < LEAST * 0.75:
+        return None
+    return max(kinds, key=kinds.get) if matched >= COVERED * len(own) else None
+
+
+def _filler(line: str) -> bool:
+    """Made-up Latin, or one word or two said over and over."""
+    words = _WORD.findall(line.lower())
+    if len(words) < 5:
+        return False
+    latin = sum(w in LATIN for w in words)
+    if latin >= 0.6 * len(words) and latin >= 5 and {"lorem", "ipsum", "dolor", "amet"} & set(words):
+        return True
+    if len(words) >= 6 and len(set(words)) <= 2 and all(a == b for a, b in zip(words, words[2:])):
+        return sum(map(len, words)) >= 0.5 * len(line.replace(" ", ""))
+    return False
+
+
+def residue(text: str) -> str | None:
+    """placeholder, filler, error or scripts if a passage of the text is residue, else None."""
+    if not text or not text.strip():
+        return None
+    prose = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
+    if _UNFILLED.search(prose):
+        for sentence in _SENTENCE.split(prose):
+            if _UNFILLED.search(sentence) and not _SUBJECT.search(_UNFILLED.sub(" ", sentence)):
+                return "placeholder"
+    for line in prose.split("\n"):
+        line = line.strip().lstrip("#>*-•| \t").strip()
+        if len(line) < 8:
+            continue
+        if _STATUS.fullmatch(line):
+            return "error"
+        if _filler(line):
+            return "filler"
+        found = _phrases(line)
+        if found:
+            return found
+        if len(line) > 40 and "`" not in line:
+            for sentence in _SENTENCE.split(line):
+                if len(sentence) >= 20 and sentence != line and not _QUOTED.search(sentence):
+                    if _filler(sentence):
+                        return "filler"
+                    found = _phrases(sentence)
+                    if found:
+                        return found
+    return None
+
+
+def find_residue(documents: DataFrame) -> DataFrame:
+    """(doc_id, kind) of the documents of which a passage is leftover instead of content.
+
+    Phrases in several languages are found by one automaton; a line or sentence is residue
+    where they cover most of it. Unfilled placeholders count wherever no sentence speaks
+    about them. Fenced code is no passage. NULL, empty and white-space texts are no cases;
+    repeated rows count once; other columns are ignored.
+    """
+    rows = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+
+    def judge(doc_id, text):
+        kind = residue(text)
+        return [(doc_id, kind)] if kind else []
+
+    return map_rows(rows, judge, "doc_id long, kind string").distinct()
+
+
+def without_residue(documents: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that stay, NULL and empty texts among them."""
+    rows = documents.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    return map_rows(rows, lambda i, t: [] if residue(t or "") else [(i,)], "doc_id long").distinct()
