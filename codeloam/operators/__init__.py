@@ -1 +1 @@
-
+"""Operators on tables of files, commits and edges."""
