@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_rows, spread
+from ..sources.tables import table, written
+
+__all__ = ["CODE_EXTENSIONS", "CONFIG_EXTENSIONS", "RollingHash", "code_points", "code_records", "map_rows", "record_text", "spread", "table", "written"]
+
 CODE_EXTENSIONS = (".py", ".js", ".ts", ".java", ".go", ".c")
 CONFIG_EXTENSIONS = (".json", ".yaml", ".yml")
 
@@ -17,10 +19,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
-
-
 def record_text() -> Column:
     """Text of a record: full_content, or content_preview where that is NULL."""
     return F.coalesce(F.col("full_content"), F.col("content_preview"))
@@ -30,41 +28,6 @@ def code_records(files: DataFrame) -> DataFrame:
     return files.filter(F.col("extension").isin(*CODE_EXTENSIONS) & F.col("full_content").isNotNull())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Uses every core when the input has fewer splits than the cluster has cores; large inputs stay unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def map_rows(df: DataFrame, function: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
-    """Applies ``function(*values)`` to each row in Arrow batches; it yields output tuples.
-
-    ``schema`` is a DDL string. Rows of one batch are turned into columns once, so the
-    cost per row is that of ``function``.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    fields = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                out.extend(function(*row))
-                if len(out) >= 20_000:
-                    yield _batch(out, fields)
-                    out = []
-            if out:
-                yield _batch(out, fields)
-
-    return spread(df).mapInArrow(run, schema)
-
-
-def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
-
-
 class RollingHash:
     """Hashes of all windows of a code-point array, by prefix sums modulo 2**64."""
 
@@ -100,40 +63,3 @@ class RollingHash:
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='codeloam-')}"
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there and any executor can be lost.
-
-    The table is removed when the session's process ends.
-    """
-    import atexit
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/codeloam-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended first
-        pass

@@ -101,6 +101,8 @@ ROWS, CELLS = 4096, 400_000
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n|\n(?=[ \t]*(?:[@:]\w|[-*•]\s))")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _QUERY = re.compile(r"\s*(?:select\b.*\bfrom|insert\s+into|update\b.*\bset|delete\s+from|create\s+(?:table|index|view)|alter\s+table|drop\s+table|with\b.*\bas\s*\()\b", re.I | re.S)
+#: Pieces of very long comments and literals, so that many are labelled side by side.
+_PIECE = re.compile(r"(?s).{1,4000}(?=[\s.])|.{1,4000}")
 _TAG = re.compile(r"^[ \t]*[@:\\][A-Za-z].*$", re.M)
 
 
@@ -207,7 +209,7 @@ def prose_candidates(text: str, extension: str, least: int) -> list[str]:
         out.append(comment_text("\n".join(text[s:e] for s, e in block)))
     out.extend(string_text(text[s:e]) for kind, s, e in found if kind == "s" and e - s > 2 * least)
     keep = []
-    for t in out:
+    for t in [x for t in out for x in (_PIECE.findall(t) if len(t) > 5000 else (t,))]:
         if t.count(" ") + t.count("\n") >= least - 1:
             t = _TAG.sub("", t)
             if not _QUERY.match(t) and len(_WORD.findall(t)) >= least:

@@ -37,11 +37,11 @@ def cuts(text: str, limit: int = 4000, overlap: int = 200) -> Iterator[tuple[int
 def split_oversized(texts: DataFrame, id_column: str = "file_id", text_column: str = "full_content", limit: int = 4000, overlap: int = 200) -> DataFrame:
     """(id, start_char, end_char) of each text above ``limit`` code points.
 
-    NULL, empty and short texts give no rows; repeated rows of one id give its pieces
+    NULL, empty and short texts and NULL ids give no rows; repeated rows of one id give its pieces
     once. Other columns of the input are ignored. ``overlap`` must be below half the limit.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be below half the limit")
-    long = texts.select(F.col(id_column).alias("file_id"), F.col(text_column).alias("text")).filter(F.length("text") > limit)
+    long = texts.select(F.col(id_column).alias("file_id"), F.col(text_column).alias("text")).filter((F.length("text") > limit) & F.col("file_id").isNotNull())
     pieces = map_rows(long, lambda i, t: ((i, s, e) for s, e in cuts(t, limit, overlap)), "file_id long, start_char int, end_char int")
     return pieces.distinct()

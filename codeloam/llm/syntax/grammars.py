@@ -139,7 +139,7 @@ generics = GENERICS
 result = RESULT
 params = ε | plist
 plist = param | param ',' | '...' pattern note? | param ',' plist
-param = MODS pattern OPT note? init?
+param = MODS pattern OPT note? init? THISPARAM
 pattern = NAME | [apat] | {opat}
 apat = aelem | aelem ',' apat
 aelem = ε | pattern init? | '...' pattern
@@ -185,9 +185,9 @@ args = ε | arglist
 arglist = arg | arg ',' | arg ',' arglist
 arg = asg | '...' asg
 """
-_PLAIN = {"NOTE": "'NEVER'", "RESULT": "'NEVER'", "GENERICS": "'NEVER'", "MODS": "", "OPT": "", "DEFINITE": "", "IMPLEMENTS": "", "TARGS": "", "DECORATED": "", "MEMBERMODS": "ε | 'static'", "USING": "", "TYPESPEC": "'NEVER'", "DECLS": "", "BODYLESS": "", "MEMBERS": "", "CAST": "", "ASSERTED": "", "ASSERTION": "", "TARGPOST": ""}
+_PLAIN = {"THISPARAM": "", "NOTE": "'NEVER'", "RESULT": "'NEVER'", "GENERICS": "'NEVER'", "MODS": "", "OPT": "", "DEFINITE": "", "IMPLEMENTS": "", "TARGS": "", "DECORATED": "", "MEMBERMODS": "ε | 'static'", "USING": "", "TYPESPEC": "'NEVER'", "DECLS": "", "BODYLESS": "", "MEMBERS": "", "CAST": "", "ASSERTED": "", "ASSERTION": "", "TARGPOST": ""}
 _TYPED = {
-    "NOTE": "':' type | ':' predicate", "RESULT": "':' type | ':' predicate", "GENERICS": "'<' tparams '>'", "MODS": "deco* pmod*", "OPT": "'?'?", "DEFINITE": "'!'?", "IMPLEMENTS": "impl?", "TARGS": "targs?", "DECORATED": "deco* 'abstract'?", "USING": "",
+    "THISPARAM": "| 'this' note", "NOTE": "':' type | ':' predicate", "RESULT": "':' type | ':' predicate", "GENERICS": "'<' tparams '>'", "MODS": "deco* pmod*", "OPT": "'?'?", "DEFINITE": "'!'?", "IMPLEMENTS": "impl?", "TARGS": "targs?", "DECORATED": "deco* 'abstract'?", "USING": "",
     "MEMBERMODS": "deco* pmod*", "TYPESPEC": "'type' WORD | 'type' WORD 'as' WORD", "BODYLESS": "| eos", "ASSERTED": "| '!'", "ASSERTION": "| targs", "TARGPOST": "| targs", "CAST": "| 'as' type btail | 'as' 'const' btail | 'satisfies' type btail",
     "MEMBERS": "| mods [indexed] note? eos",
     "DECLS": "| 'interface' NAME generics? ext? {tmembers_} | 'type' NAME generics? '=' type eos | 'const'? 'enum' NAME {enums} | 'declare' decl | 'namespace' dotted {items_} | 'module' dotted {items_} | 'module' 'STR' {items_} | 'global' {items_} | 'export' decl | 'import' NAME '=' asg eos | 'import' 'type' clause 'from' 'STR' eos | 'export' 'type' {specs} eos | 'export' '=' asg eos",
