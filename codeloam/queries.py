@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import latest, record_text
-from .operators import astmetrics, diagrams, duplicates, extract, graph, history, overview, prompts, quality, ranking, relations, rules
+from .operators import astmetrics, diagrams, duplicates, extract, flows, graph, history, overview, projects, prompts, quality, ranking, relations, rules
 from .plans import report
 from .sources import repositories
 from .sources.tables import table
@@ -316,6 +316,47 @@ add("flow_texts", diagrams.flow_texts, "edges", sql=f"WITH {_FIRST} SELECT repos
 add("diagram_edges", lambda edges: diagrams.diagram_edges(diagrams.interaction_diagrams(edges)), "edges")
 add("diagram_nodes", lambda edges: diagrams.diagram_nodes(diagrams.interaction_diagrams(edges)), "edges")
 
+# Flows and projects
+_CALLED = f"list_filter(regexp_extract_all({TEXT}, '(\\w+)\\s*\\([^)]*\\)', 1), lambda n: length(n) >= 3 AND n NOT IN ({', '.join(map(quoted, extract.NOT_CALLS))}))"
+
+
+def _seen(patterns, most: int) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({TEXT}, {quoted(p)}) THEN {quoted(n)} END" for n, p in patterns) + f"], lambda l: l IS NOT NULL)[1:{most}]"
+
+
+def _steps(items: str, action: str, kind: str, category: str) -> str:
+    return f"list_transform({items}, lambda n: {{'action': {action}, 'kind': {kind}, 'category': '{category}'}})"
+
+
+_FLOW = (
+    "list_concat(list_concat(list_concat(list_concat("
+    + _steps(f"[{STEM}]", "'Start: ' || n", "'initialization'", "entry") + ", " + _steps("ms[1:3]", "'Import ' || n", "'dependency_loading'", "setup") + "), " + _steps(_seen(extract.CONFIGURATION, 2), "'Configure ' || n", "'configuration'", "setup") + "), "
+    + _steps("list_filter(cs, lambda n, i: list_position(cs, n) = i)[1:4]", "'Execute ' || n || '()'", _OPERATION, "operation") + "), " + _steps(_seen(extract.CONTROL, 2), "'Control: ' || n", "'control_flow'", "logic") + ")"
+)
+_ENTRY = "GREATEST(" + ", ".join(f"CASE WHEN {c} THEN {(1 if p == 'high' else 0) + v / 10} ELSE 0 END" for _, c, p, v in _ENTRIES) + ")"
+add(
+    "flow_steps", flows.flow_steps, FILES,
+    sql=f"WITH {F_}, e AS (SELECT *, {MODULES} AS ms, {_CALLED} AS cs, {_ENTRY} AS w FROM f), k AS (SELECT * FROM e WHERE w > 0 QUALIFY row_number() OVER (PARTITION BY repository ORDER BY w DESC, path) <= 5), s AS (SELECT repository, file_id, {_FLOW} AS steps FROM k), u AS (SELECT repository, file_id, unnest(range(1, len(steps) + 1)) AS step, steps FROM s) SELECT repository, file_id, CAST(step AS INTEGER) AS step, steps[step].action AS action, steps[step].kind AS kind, steps[step].category AS category FROM u",
+)
+add("execution_diagrams", lambda files: flows.execution_diagrams(flows.flow_steps(files)), FILES)
+add("data_flow_diagrams", flows.data_flow_diagrams, FILES)
+_PREVIEW = "lower(coalesce(content_preview, ''))"
+_POINTS = {k: f"CAST(sum(CASE WHEN {any_of(_PREVIEW, w)} THEN {n} ELSE 0 END)" for k, (w, n) in projects.FILE_WORDS.items()}
+_FEW = "coalesce(sum(lines), 0) < 2000"
+add(
+    "project_types", projects.project_types, FILES,
+    sql=f"WITH {F_}, g AS (SELECT repository, {_POINTS['educational']} + CASE WHEN {any_of('lower(any_value(repository))', projects.NAMES)} THEN 50 ELSE 0 END + CASE WHEN {_FEW} THEN 30 ELSE 0 END AS BIGINT) AS educational, {_POINTS['production']} AS BIGINT) AS production, {_POINTS['research']} AS BIGINT) AS research, CAST(CASE WHEN {_FEW} THEN 20 ELSE 0 END AS BIGINT) AS prototype FROM f GROUP BY repository) SELECT *, CASE greatest(educational, production, research, prototype) {' '.join(f'WHEN {k} THEN {quoted(k)}' for k in projects.TYPES)} END AS project_type FROM g",
+)
+add("typed_findings", projects.typed_findings, FILES)
+_ALL = "lower(concat_ws(chr(10), content_preview, array_to_string(functions, ' '), array_to_string(imports, ' ')))"
+add("domains", projects.domains, FILES, sql=f"WITH {F_} " + " UNION ALL ".join(f"SELECT repository, {quoted(k)} AS domain, count(*) AS files FROM f WHERE {any_of(_ALL, w.split())} GROUP BY repository" for k, w in projects.DOMAINS.items()))
+_IMPORTED, _FUNCTIONS = "lower(coalesce(array_to_string(imports, ' '), ''))", "lower(coalesce(array_to_string(functions, ' '), ''))"
+_LISTS = {"layers": [(k, f"bool_or({any_of(_NAME, w)})") for k, w in projects.LAYERS.items()], "frameworks": [(k, f"bool_or({any_of(_IMPORTED, [w])})") for k, w in projects.FRAMEWORKS.items()], "tasks": [(k, f"bool_or({any_of(_FUNCTIONS, w)})") for k, w in projects.TASKS.items()]}
+add(
+    "structures", projects.structures, FILES,
+    sql=f"WITH {F_}, g AS (SELECT repository, {', '.join(f'{labelled(r)} AS {k}' for k, r in _LISTS.items())}, count(*) AS files, CAST(sum(coalesce(len(functions), 0)) AS BIGINT) AS functions, CAST(sum(coalesce(len(classes), 0)) AS BIGINT) AS classes FROM f GROUP BY repository) SELECT *, CASE WHEN classes * 10 > functions * 3 THEN 'object-oriented' WHEN functions > classes * 3 THEN 'functions' ELSE 'mixed' END AS style FROM g",
+)
+
 # Sources
 add("repository_inputs", repositories.repositories, "repo_inputs")
 add("cache_hits", lambda entries: repositories.cached(entries, F.lit("2023-01-01 00:00:00").cast("timestamp_ntz"), 24 * 30), "repo_inputs", sql="SELECT md5(input || '_full') AS cache_key, arg_max(repository, added_at) AS repository, max(added_at) AS added_at FROM repo_inputs WHERE input IS NOT NULL AND added_at >= TIMESTAMP '2023-01-01' - INTERVAL 720 HOUR GROUP BY input")
