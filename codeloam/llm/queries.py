@@ -28,6 +28,10 @@ def p2_shared(spark: SparkSession, directory: str) -> DataFrame:
     return spans.SharedSpans(table(spark, directory, "detailed_files")).shared_characters()
 
 
+def p2_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, directory, "detailed_files")).linked_classes()
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return credentials.find_credentials(table(spark, directory, "detailed_files"))
 
@@ -84,4 +88,4 @@ def p10_kept(spark: SparkSession, directory: str) -> DataFrame:
     return residue.without_residue(table(spark, directory, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found, p10_found, p10_kinds, p10_kept)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared, p2_classes, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found, p10_found, p10_kinds, p10_kept)}

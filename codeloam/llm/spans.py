@@ -157,6 +157,13 @@ class SharedSpans:
         """(file_id, class_id, copies) of each record long enough to share a span."""
         return self.members.join(self.classes, "digest").select("file_id", "class_id", "copies")
 
+    def linked_classes(self) -> DataFrame:
+        """(file_id, class_id, copies, links): links is the number of other classes that share a span with the record's."""
+        pairs = self.class_pairs()
+        both = pairs.select(F.col("class_a").alias("class_id")).unionByName(pairs.select(F.col("class_b").alias("class_id")))
+        links = both.groupBy("class_id").agg(F.count("*").alias("links"))
+        return self.membership().join(links, "class_id", "left").select("file_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
     def record_pairs(self) -> DataFrame:
         """(file_id_a, file_id_b) of all records that share a span, exact copies included."""
         of = self.membership().select("file_id", "class_id")

@@ -17,6 +17,12 @@ c AS (SELECT file_id, least(300, coalesce(lead(i) OVER (PARTITION BY file_id ORD
 k AS (SELECT file_id, sum(n) AS n FROM c GROUP BY file_id)
 SELECT t.file_id, CAST(length(t.x) AS BIGINT) AS n_chars, CAST(coalesce(k.n, 0) AS BIGINT) AS shared_chars FROM t LEFT JOIN k USING (file_id)"""
 
+SQL["p2_classes"] = _WINDOWS + """,
+m AS (SELECT file_id, min(file_id) OVER (PARTITION BY md5(x)) AS class_id, count(*) OVER (PARTITION BY md5(x)) AS copies FROM t WHERE length(x) >= 300),
+v AS (SELECT DISTINCT class_id, h FROM w JOIN m USING (file_id)),
+k AS (SELECT a.class_id, count(DISTINCT b.class_id) AS links FROM v a JOIN v b ON a.h = b.h AND a.class_id <> b.class_id GROUP BY a.class_id)
+SELECT file_id, class_id, copies, coalesce(links, 0) AS links FROM m LEFT JOIN k USING (class_id)"""
+
 SQL["p7_found"] = """
 WITH RECURSIVE t AS (
   SELECT DISTINCT file_id, full_content AS x FROM detailed_files

@@ -145,6 +145,13 @@ def test_valid_and_invalid_texts(extension):
     assert [t for t in INVALID[extension] if is_valid(t, extension)] == []
 
 
+def test_long_lists_are_judged_by_their_elements():
+    for extension, text in {".py": "x = [{}]\n", ".js": "f({});\n", ".java": "class A {{ int[] a = {{ {} }}; }}", ".go": "package a\nvar x = []int{{ {} }}\n", ".c": "int x[] = {{ {} }};\n", ".json": "[{}]"}.items():
+        good = ", ".join(["1"] * 50)
+        assert is_valid(text.format(good), extension), extension
+        assert not is_valid(text.format(good + ", 1 1"), extension) and not is_valid(text.format(good + ", , 1") if extension != ".js" else text.format(good + ", = 1"), extension)
+
+
 def test_python_recogniser_against_the_compiler():
     sources = VALID[".py"] + INVALID[".py"]
     r = random.Random(6)

@@ -59,6 +59,7 @@ def test_hot_copies_are_one_class(spark):
     found = spans.SharedSpans(files(spark, data), 40)
     assert rows(found.class_pairs()) == [(0, 100)]
     assert found.record_pairs().count() == 61 * 60 // 2
+    assert rows(found.linked_classes())[0] == (0, 0, 60, 1) and rows(found.linked_classes())[-1] == (100, 100, 1, 1)
 
 
 def test_split_and_round_trip(spark):
