@@ -177,12 +177,11 @@ add("search_ledger", lambda files: rules.search(files, "ledger"), FILES, sql=f"W
 
 
 def question_classes(documents: DataFrame) -> DataFrame:
-    """First line of each answer as a question."""
-    question = F.substring_index(F.col("text"), "\n", 1)
-    return documents.filter("text IS NOT NULL").select("doc_id", rules.question_class(question).alias("question_class"))
+    """Each text as a question."""
+    return documents.filter("text IS NOT NULL").select("doc_id", rules.question_class(F.col("text")).alias("question_class"))
 
 
-_QUESTION = "lower(string_split(text, chr(10))[1])"
+_QUESTION = "lower(text)"
 add("question_classes", question_classes, "documents", sql=f"SELECT doc_id, CASE WHEN trim({_QUESTION}) IN ({', '.join(map(quoted, rules.GREETINGS))}) OR {any_of(_QUESTION, rules.GENERAL)} THEN 'general' ELSE 'repository_specific' END AS question_class FROM documents WHERE text IS NOT NULL")
 
 # Duplicates
@@ -299,11 +298,11 @@ add("risk_levels", risk_levels, FILES)
 def conversations(documents: DataFrame) -> DataFrame:
     """Documents of a source as its conversation: read-mes set the scene, answers and reviews come from the user."""
     role = F.when(F.col("kind") == "readme", "system").when(F.col("kind").isin("answer", "review"), "user").otherwise("assistant")
-    rows = documents.filter("source IS NOT NULL AND doc_id IS NOT NULL").select("source", F.col("created_at").alias("at"), "doc_id", role.alias("role"), F.substring("text", 1, 80).alias("text"))
+    rows = documents.filter("source IS NOT NULL AND doc_id IS NOT NULL").select("source", F.col("created_at").alias("at"), "doc_id", role.alias("role"), "text")
     return prompts.message_prompts(rows, "source", ["at", "doc_id"])
 
 
-add("message_prompts", conversations, "documents", sql="""WITH m AS (SELECT source, created_at, doc_id, CASE WHEN kind = 'readme' THEN 'System: ' ELSE 'User: ' END || coalesce(substr(text, 1, 80), '') AS line FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND kind IN ('readme', 'answer', 'review')) SELECT source, string_agg(line, chr(10) || chr(10) ORDER BY created_at NULLS FIRST, doc_id) || chr(10) || chr(10) || 'Assistant:' AS prompt FROM m GROUP BY source""")
+add("message_prompts", conversations, "documents", sql="""WITH m AS (SELECT source, created_at, doc_id, CASE WHEN kind = 'readme' THEN 'System: ' ELSE 'User: ' END || coalesce(text, '') AS line FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND kind IN ('readme', 'answer', 'review')) SELECT source, string_agg(line, chr(10) || chr(10) ORDER BY created_at NULLS FIRST, doc_id) || chr(10) || chr(10) || 'Assistant:' AS prompt FROM m GROUP BY source""")
 add("file_prompts", lambda files: prompts.file_prompts(ranking.priority(files), files), FILES)
 add("batch_prompts", lambda files: prompts.batched(prompts.file_prompts(ranking.priority(files), files)), FILES)
 _FIRST = f"{E_}, k AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY src, dst) AS n FROM e QUALIFY n <= 10)"
