@@ -49,8 +49,12 @@ class Interner:
 
 
 class Grammar:
-    def __init__(self, text: str, classes: dict[str, set[str]], cut=None) -> None:
-        """``cut(kinds, breaks)`` proposes where a closed run may be split; None never splits."""
+    def __init__(self, text: str, classes: dict[str, set[str]], cut=None, lists: dict[str, tuple[str, bool]] | None = None) -> None:
+        """``cut(kinds, breaks)`` proposes where a closed run may be split; None never splits.
+
+        ``lists`` names rules that elements between commas derive, each with the rule of an
+        element and whether a comma may stand behind the last.
+        """
         self.cut = cut
         rules: dict[str, list[list[str]]] = {}
         for line in re.sub(r"\n[ \t]+", " ", text.strip()).split("\n"):
@@ -64,6 +68,7 @@ class Grammar:
             rules[name] = [[self._plain(s, rules) for s in alternative] for alternative in rules[name]]
         self.number = {name: k for k, name in enumerate(rules)}
         self.closed = {self.number[n] for n in rules if n.endswith("s_")}
+        self.lists = {self.number[k]: (self.number[v], trailing) for k, (v, trailing) in (lists or {}).items()}
         op: list[int] = []
         arg: list = []
         starts: list[list[int]] = []
@@ -166,6 +171,8 @@ class Grammar:
             answer = False
             if rule in self.closed and self.cut and len(group.tokens) > 8:
                 answer = self._in_parts(group, rule, interner)
+            elif rule in self.lists and len(group.tokens) > 8:
+                answer = self._in_elements(group, rule, interner)
             answer = answer or self.recognise((rule,), group, interner)
             group.known[rule] = answer
         return answer
@@ -179,6 +186,18 @@ class Grammar:
         parts = [interner.get("", group.tokens[a:b], group.breaks[a:b]) for a, b in zip(at, at[1:]) if a < b]
         return all(self.derives(p, rule, interner) for p in parts)
 
+    def _in_elements(self, group: Group, rule: int, interner: Interner) -> bool:
+        """True if each run between commas derives an element of a list rule."""
+        element, trailing = self.lists[rule]
+        tokens, breaks = group.tokens, group.breaks
+        at = [-1, *(i for i, t in enumerate(tokens) if t == ","), len(tokens)]
+        if trailing and at[-2] == len(tokens) - 1:
+            at.pop()
+        if len(at) < 4:
+            return False
+        parts = {interner.get("", tokens[a + 1 : b], breaks[a + 1 : b]) for a, b in zip(at, at[1:])}
+        return all(p.tokens and self.derives(p, element, interner) for p in parts)
+
     def accepts(self, group: Group, rules: tuple[str, ...], interner: Interner) -> bool:
         """Whether any of the start rules, one for each dialect, derives the run."""
         numbers = tuple(self.number[r] for r in rules)

@@ -27,6 +27,8 @@ _PUNCTUATION = {
 _PUNCTUATION[".ts"] = _PUNCTUATION[".js"]
 _SINGLES = {".py": "()[]{}:;,.=<>+-*/%|&^~@", ".js": "()[]{}:;,.=<>+-*/%|&^~!?#", ".ts": "()[]{}:;,.=<>+-*/%|&^~!?#@", ".java": "()[]{}:;,.=<>+-*/%|&^~!?@", ".go": "()[]{}:;,.=<>+-*/%|&^~!", ".c": "()[]{}:;,.=<>+-*/%|&^~!?"}
 _PAIR = {")": "(", "]": "[", "}": "{"}
+#: Groups and lines kept for each language in a worker, about a kilobyte each.
+ROOM = 60_000
 #: Kinds that go on with a statement although a brace or line has ended.
 _GOES_ON = {"else", "catch", "finally", "while", ".", "?.", "(", "[", ",", ";", ")", "=", "=>", "?", ":", "STR", "&&", "||", "??", "+", "-", "*", "/", "as", "implements", "of", "in", "instanceof", "==", "===", "!=", "!==", "<", ">", "|", "&", "->", "::"}
 
@@ -58,6 +60,17 @@ def _cut_python(kinds: list[str], breaks: tuple) -> list[int]:
     return [i for i in range(1, len(kinds)) if kinds[i - 1] in ("NL", "»") and kinds[i] not in on and kinds[i - 2 : i - 1] != ["NL"]]
 
 
+#: Rules of lists by extension, for Grammar.
+_LISTS = {
+    ".py": {"list": ("element", True), "braces": ("pair", True), "paren": ("element", True), "args": ("arg", True)},
+    ".js": {"elems": ("elem", True), "object": ("prop", True), "args": ("arg", True)},
+    ".java": {"inits": ("init", True), "args": ("expr", False)},
+    ".go": {"lit": ("elem", True), "args": ("arg", True)},
+    ".c": {"values": ("elem", True), "args": ("arg", False)},
+}
+_LISTS[".ts"] = _LISTS[".js"]
+
+
 class Language:
     def __init__(self, extension: str) -> None:
         self.extension = extension
@@ -72,7 +85,7 @@ class Language:
         named = {"n"} | soft
         marks = {"STR", "CHR", "NUM"}
         classes = {"NAME": named, "WORD": named | words, "NEVER": set(), "NUM": {"NUM"}, "ANY": named | words | marks | set(_PUNCTUATION[extension]) | set(_SINGLES[extension]) - set("()[]{}")}
-        self.grammar = Grammar(text, classes, cut)
+        self.grammar = Grammar(text, classes, cut, _LISTS[extension])
         self.breaks = extension in (".js", ".ts")
         self.words = words | soft
         kept = "|".join(sorted(self.words))
@@ -83,7 +96,7 @@ class Language:
         punctuation = "|".join(map(re.escape, _PUNCTUATION[extension]))
         self.tokens = re.compile(rf"[^\S\n]+|(?:[^\W\d]\w*)|#n|0(?!\w)|\"|'|\x02|{punctuation}|[{re.escape(_SINGLES[extension])}]|.", re.S)
         self.lines: dict[str, tuple | None] = {}
-        self.interner = Interner()
+        self.interner = Interner(ROOM)
 
     def line(self, line: str) -> tuple | None:
         """(items, breaks, last kind) of a masked line; None if a token is unknown.
@@ -211,7 +224,7 @@ class Language:
             items, flags = outer, outer_flags
         if stack:
             return None
-        if len(known) > 200_000:
+        if len(known) > ROOM:
             known.clear()
         return self.interner.get("file", tuple(items), tuple(flags) if breaks else ())
 
@@ -244,7 +257,7 @@ def language(extension: str) -> Language:
 
 
 _JSON_TOKEN = re.compile(r'[ \t\r\n]+|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|true|false|null|[{}\[\]:,]|.', re.S)
-_json = Grammar(g.JSON, {})
+_json = Grammar(g.JSON, {}, None, {"members": ("member", False), "elements": ("value", False)})
 
 
 def grouped(kinds: list[str], interner: Interner) -> Group | None:
