@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import latest, lines, record_text, strip
+from ..functions.text import latest, record_text, strip
 
 BLOCK = 10
 
@@ -23,15 +23,11 @@ def code_blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
 
     Blocks that hold only comments are left out. The digest is the md5 of the normalised block.
     """
-    text = record_text()
-    parts = lines(F.regexp_replace(text, "\r\n", "\n"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(size))
-    block = lambda s: F.slice(parts, s + 1, F.lit(size))
-    blocks = F.transform(
-        starts,
-        lambda s: F.struct(s.alias("start"), F.size(block(s)).alias("n"), F.size(F.filter(block(s), lambda x: strip(x) != "")).alias("filled"), normalised(F.array_join(block(s), "\n")).alias("norm")),
-    )
-    kept = F.transform(F.filter(blocks, lambda b: (b.filled > 3) & (b.norm != "")), lambda b: F.struct(b.start.alias("start"), b.n.alias("n"), F.md5(b.norm).alias("digest")))
+    text = F.regexp_replace(record_text(), "\r\n", "\n")
+    # One pass cuts the text into runs of ``size`` lines and a shorter rest.
+    chunks = F.regexp_extract_all(text, F.lit(f"(?:[^\\n]*\\n){{{size}}}|[\\s\\S]+"), 0)
+    block = lambda c, i: F.struct((i * size).alias("start"), F.least(F.lit(size), F.regexp_count(c, F.lit("\n")) + 1).alias("n"), F.regexp_count(c, F.lit(r"(?m)^[^\S\n]*[^\s]")).alias("filled"), normalised(c).alias("norm"))
+    kept = F.transform(F.filter(F.transform(chunks, block), lambda b: (b.filled > 3) & (b.norm != "")), lambda b: F.struct(b.start.alias("start"), b.n.alias("n"), F.md5(b.norm).alias("digest")))
     rows = latest(files, "repository", "path", kept.alias("blocks")).select("repository", "file_id", "path", F.explode("blocks").alias("b"))
     return rows.select("repository", "file_id", "path", (F.col("b.start") + 1).alias("start_line"), F.col("b.n").alias("n_lines"), F.col("b.digest").alias("digest"))
 
