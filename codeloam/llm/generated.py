@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_records, map_rows
+from .common import code_records, map_rows, written
 from .segments import blanked, comment_blocks, comment_text, segments
 
 #: Notices by which tools mark what they wrote, in the languages of the corpus.
@@ -79,23 +79,32 @@ def _valued(text: str, found: list[tuple[str, int, int]]) -> str:
 
 
 def line_index(files: DataFrame, shortest: int = 25) -> DataFrame:
-    """(row, file_id, repository hash, n, h): the distinct telling lines of each file, n in all, as hashes."""
+    """(row, file_id, repository hash, n, pos, h): the distinct telling lines of each file, n in all, as hashes in their order."""
     bare = F.transform(F.split("full_content", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     kept = F.array_distinct(F.filter(bare, lambda x: (F.length(x) >= shortest) & x.rlike("[A-Za-z]{3}.*[A-Za-z]{3}")))
     rows = code_records(files).select(F.monotonically_increasing_id().alias("row"), "file_id", F.xxhash64("repository").alias("repo"), F.transform(kept, lambda x: F.xxhash64(x)).alias("lines"))
-    return rows.select("row", "file_id", "repo", F.size("lines").alias("n"), F.explode("lines").alias("h"))
+    return rows.select("row", "file_id", "repo", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "h"))
 
 
 def cross_repository(files: DataFrame, containment: float = 0.8, rare: int = 1000, least: int = 8) -> DataFrame:
     """(file_id) of the files of which ``containment`` of all telling lines stand in other repositories.
 
-    An inverted index of line hashes keeps the rare ones: in at most ``rare`` files, of
-    two repositories or more. Lines are combined by map tasks before they are shuffled.
+    An inverted index of line hashes keeps those of two repositories or more. A line in at
+    most ``rare`` files counts by itself. One in more may be a common turn or part of a
+    library with many copies: it counts where two repositories or more have it together with
+    one of the three indexed lines before or after it. Equal and edited copies are thus
+    found however many there are. Lines and pairs are combined by map tasks before they
+    are shuffled, and each is joined with one row a key.
     """
     lines = line_index(files)
-    index = lines.groupBy("h").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.count("*").alias("files")).filter(F.col("files").between(2, rare) & (F.col("low") < F.col("high"))).select("h")
-    shared = lines.join(index, "h").groupBy("row", "file_id", "n").agg(F.count("*").alias("shared"))
-    return shared.filter((F.col("n") >= least) & (F.col("shared") >= containment * F.col("n"))).select("file_id").distinct()
+    index = lines.groupBy("h").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.count("*").alias("files")).filter(F.col("low") < F.col("high")).select("h", (F.col("files") > rare).alias("hot"))
+    held = written(lines.join(index, "h").groupBy("row", "file_id", "repo", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "hot"))).alias("held")))
+    near = F.expr("filter(flatten(transform(held, (x, i) -> transform(slice(held, i + 2, 3), y -> struct(xxhash64(x.h, y.h) AS pair, filter(array(if(x.hot, x.pos, NULL), if(y.hot, y.pos, NULL)), p -> p IS NOT NULL) AS at)))), z -> size(z.at) > 0)")
+    kept = held.filter((F.col("n") >= least) & (F.size("held") >= containment * F.col("n")))
+    pairs = held.select("repo", F.explode(near).alias("z")).groupBy("z.pair").agg(F.min("repo").alias("low"), F.max("repo").alias("high")).filter(F.col("low") < F.col("high")).select("pair")
+    backed = kept.select("row", F.inline(near)).join(pairs, "pair").select("row", F.explode("at").alias("pos")).groupBy("row").agg(F.count_distinct("pos").alias("backed"))
+    alone = F.size(F.filter("held", lambda x: ~x["hot"]))
+    return kept.join(backed, "row", "left").filter(alone + F.coalesce("backed", F.lit(0)) >= containment * F.col("n")).select("file_id").distinct()
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:

@@ -109,6 +109,17 @@ def test_vendored_copies_without_notice(spark):
     assert rows(generated.cross_repository(files(spark, repeated))) == [(1,), (2,)]
 
 
+def test_vendored_copies_of_any_number(spark):
+    library = [f"    value_{k} = compute_something(argument_{k}, other_{k})" for k in range(12)]
+    equal = [(k, f"r/{k % 7}", ".py", "\n".join(library)) for k in range(1001)]
+    edited = [(k, f"r/{k % 7}", ".py", "\n".join([*library[: k % 12], f"    edited_{k} = compute_something_else({k})", *library[k % 12 + 1 :]])) for k in range(2000, 3200)]
+    assert generated.cross_repository(files(spark, equal)).count() == 1001
+    assert generated.cross_repository(files(spark, edited)).count() == 1200
+    turn = ["    if not found_anything: return None", "    for row in all_the_rows_given:"]
+    own = [(k, f"r/{k % 7}", ".py", "\n".join(x for j in range(12) for x in (f"    own_{k}_{j} = call_number({j}, {k})", turn[j % 2]))) for k in range(4000, 5100)]
+    assert rows(generated.cross_repository(files(spark, own))) == []
+
+
 @pytest.mark.parametrize("operator", [generated.not_handwritten, credentials.find_credentials, credentials.mask_credentials, docpairs.doc_lines, docpairs.doc_pairs, prose.file_languages, invalid.invalid_files, invalid.invalid_rates, split.split_oversized])
 def test_empty_and_null_tables(spark, operator):
     nothing = files(spark, [])
