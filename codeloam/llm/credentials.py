@@ -8,7 +8,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -21,6 +21,8 @@ from .common import CODE_EXTENSIONS, map_rows, record_text
 MASK = "REDACTED"
 #: Least part of the entropy a random string of the same length and alphabet could have.
 RANDOM, CHOSEN = 0.78, 0.62
+#: The same part without a name, and how long on average its runs of one kind of character may be.
+NAMELESS, RUN = 0.85, 2.6
 #: Prefixes by which issuers mark their tokens.
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9+/_\-])(?:"
@@ -32,6 +34,7 @@ _ISSUED = re.compile(
 _ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<u>[^\s:@/\"'`<>]{0,80}):(?P<v>[^\s@/\"'`]{3,200})@[A-Za-z0-9\[]")
 _HEADER = re.compile(r"(?i)\b(?P<k>basic|bearer|token|apikey)[ \t]+(?P<v>[A-Za-z0-9+/_=.\-]{8,600})(?![A-Za-z0-9+/_=.\-])")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_PRIVATE_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END|\Z)", re.S)
 #: Longest private key looked at, in characters.
 _LONGEST_KEY = 20_000
 #: Words that name a password, and words that name a key or token.
@@ -41,7 +44,7 @@ _TOKENS = frozenset("secret secrets token tokens apikey key keys jwt pat bot hma
 _HARMLESS = frozenset("public pub field name names header label hint prompt column param parameter path file ref reference placeholder length min max policy regex pattern expiry ttl count type index primary foreign sort cache partition idempotency request trace commit sha sha1 sha256 sha512 md5 digest checksum hash fingerprint integrity etag icon image uuid version url uri endpoint".split())
 _NAME = re.compile(
     r"(?P<n>(?i:pass|pwd|kennwort|contrase|clave|senha|palavra|parola|wachtwoord|secret|token|key|jwt|pat(?![a-z])|bot(?![a-z])|hmac|live|auth|credential|bearer)[\w$\-]*)"
-    r"[\"'`\])]{0,3}[ \t]*(?::[ \t]*[A-Za-z_][\w.<>\[\]|]*[ \t]*(?==[^=])|(?:\[[ \t]*\d*[ \t]*\])[ \t]*)?(?::=|=>|==|!=|=|:|[ \t]+(?=[\"'`]))[ \t]*(?:\([ \t]*)?(?:\r?\n[ \t]*)?"
+    r"[\"'`\])]{0,3}[ \t]*(?::[ \t]*[A-Za-z_][\w.<>\[\]|]*[ \t]*(?==[^=])|(?:\[[ \t]*\d*[ \t]*\])[ \t]*)?(?P<o>:=|=>|==|!=|=|:|[(,](?=\s*[rRbBuUfFL@]{0,2}[\"'`])|[ \t]+(?=[\"'`]))[ \t]*(?:\([ \t]*)?(?:\r?\n[ \t]*)?"
     r"(?:[rRbBuUfFL@]{0,2}(?:\"(?P<d>(?:[^\"\\\n]|\\.){4,400})\"|'(?P<s>(?:[^'\\\n]|\\.){4,400})'|`(?P<t>[^`\n]{4,400})`)|(?P<r>[^\s\"'`,;(){}\[\]<>]{6,400}))",
 )
 #: Characters looked at before a name, for the rest of the name and for the mark of a comment.
@@ -53,6 +56,15 @@ _STAND_IN = re.compile(
 _PLACEHOLDER = re.compile(
     r"(?i)(?:^|[^a-z])(?:your|my|some|the|insert|enter|replace|change|sample|dummy|fake|mock|removed|masked|hidden|todo|tbd|null|none|undefined|here|goes|test|foo|bar|lorem|env|environ|process|vault|getenv|config|settings)(?:[^a-z]|$)|^(?:password|passwort|passwd|secret|token|changeit|letmein|admin|root|user|guest|pass|pw|pwd)\d{0,4}$"
 )
+#: Words of calls whose argument is the name of what they give.
+_GETTERS = frozenset("get fetch read load lookup find env getenv has is delete remove".split())
+#: Words that, as the nearest before a nameless value, say that it is something else.
+_OTHER = frozenset("id ids nonce salt build session revision rev cursor boundary seed cert certificate ssh rsa dss ed25519 ecdsa crc img svg png jpg jpeg gif font blob image avatar logo signature sig sprite".split())
+_LITERAL = re.compile(r"([\"'`])(?P<v>[\w+/\-.~!@#^*$]{20,}+={0,2})\1|(?<![\w+/\-.~@:\"'`$%&?])(?P<w>[\w+/\-]{20,}+={0,2})(?![\w+/=\-.~@:(\[$%&?])")
+#: Marks of encoded images, fonts, documents and public keys.
+_ENCODED = re.compile(r"iVBORw0KGgo|/9j/|R0lGOD|PHN2Zy|PD94bWw|UklGR|AAABAA|Qk[02]|JVBERi|d09G[RM]|UEsDB|H4sI|AAAA[BCE]3NzaC1|AAAAE2VjZHNh|MI[IGH][A-Za-z]")
+_BLOCK = re.compile(r"-----BEGIN (?![A-Z0-9 ]*PRIVATE KEY)[^\n]*?-----.*?(?:-----END|\Z)", re.S)
+_KINDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _WORDS = re.compile(r"[A-Z]?[a-zñ]+|[A-Z]+(?![a-z])|\d+")
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
@@ -80,7 +92,7 @@ def _regions(text: str) -> list[tuple[int, int]]:
     for at, word in _triggers().iter(low):
         if at < done:
             continue
-        if word == "key" and low[at + 1 : at + 10].lstrip(" \t")[:1] not in tuple("=:\"'`_-]si0123456789") or word == "://" and low.find("@", at, at + 300) < 0:
+        if word == "key" and low[at + 1 : at + 10].lstrip(" \t")[:1] not in tuple("=:\"'`_-](,)si0123456789") or word == "://" and low.find("@", at, at + 300) < 0:
             continue
         if word in ("pat", "bot") and low[at + 1 : at + 2].isalpha():
             continue
@@ -169,6 +181,7 @@ def credentials(text: str, extension: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     for a, b in _regions(text):
         found.extend(_within(text, a, b, extension in CODE_EXTENSIONS))
+    found.extend(_literals(text, extension in CODE_EXTENSIONS))
     found.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str]] = []
     for x in found:
@@ -177,6 +190,102 @@ def credentials(text: str, extension: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+def _glued(part: str) -> tuple[str, Callable[[int, int, bool], tuple[int, int]]]:
+    """The text with literals in parts read as one, and a function from places in it to places in ``part``."""
+    # taken[k] is how much was taken out before borders[k].
+    borders, taken, out, at, total = [], [], [], 0, 0
+    for m in _GLUE.finditer(part):
+        out.append(part[at : m.start()])
+        borders.append(m.start() - total)
+        total += m.end() - m.start()
+        taken.append(total)
+        at = m.end()
+
+    def spread(s: int, e: int, left: bool) -> tuple[int, int]:
+        k, j = bisect_left(borders, s) if left else bisect_right(borders, s), bisect_left(borders, e)
+        return s + (taken[k - 1] if k else 0), e + (taken[j - 1] if j else 0)
+
+    return "".join([*out, part[at:]]) if borders else part, spread
+
+
+def _nameless(value: str) -> bool:
+    """Looks issued by a machine without a name to say so: no checksum, encoded file or public key."""
+    if _HEX.fullmatch(value) or _ENCODED.match(value) or not re.search("[a-z]", value) or not re.search("[A-Z]", value) or not is_random(value, 20):
+        return False
+    runs = _KINDS.findall(value)
+    return relative_entropy(value) >= NAMELESS and sum(map(len, runs)) <= RUN * len(runs)
+
+
+def _named_otherwise(text: str, at: int) -> bool:
+    """The last name before a place, on its line, is that of something else; what ends in secret or password is none."""
+    k = at
+    while k and not (text[k - 1].isalnum() or text[k - 1] == "\n"):
+        k -= 1
+    e = k
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_$-"):
+        k -= 1
+    words = [w.lower() for w in _WORDS.findall(text[k:e])]
+    return bool(set(words) & (_HARMLESS | _OTHER)) and words[-1] not in ("secret", "password", "passwd", "passphrase")
+
+
+def _argument(text: str, at: int, name: str) -> bool:
+    """A name that is a whole literal, and no piece of encoded data."""
+    runs = _KINDS.findall(name)
+    return text[at - 1 : at] in ("'", '"', "`") and (len(name) < 20 or sum(map(len, runs)) > RUN * len(runs))
+
+
+_BETWEEN = re.compile(r"[\"'`,;+.\\\s]*")
+
+
+def _alone(text: str, found: list[re.Match]) -> Iterator[re.Match]:
+    """The literals that aren't pieces of encoded data: three or more in a row, or two long ones of one length."""
+    run: list[re.Match] = []
+    for m in [*found, None]:
+        if m and run and _BETWEEN.fullmatch(text, run[-1].end(), m.start()):
+            run.append(m)
+            continue
+        if len(run) < 2 or len(run) == 2 and not (len(run[0][0]) == len(run[1][0]) >= 60):
+            yield from run
+        run = [m] if m else []
+
+
+def _literals(text: str, code: bool) -> list[tuple[int, int, str]]:
+    """Quoted strings and long tokens of the whole text that are random by themselves."""
+    joined, spread = _glued(text)
+    found: list[tuple[int, int, str]] = []
+    blocks: list[tuple[int, int]] | None = None
+    for m in _alone(joined, [*_LITERAL.finditer(joined)]):
+        group = "v" if m["v"] is not None else "w"
+        if not _nameless(m[group]) or _named_otherwise(joined, m.start(group)):
+            continue
+        if blocks is None:
+            blocks = [x.span() for x in _BLOCK.finditer(joined)] + [x.span() for x in _PRIVATE_BLOCK.finditer(joined)]
+        s, e = m.span(group)
+        if any(a <= s < b for a, b in blocks):
+            continue
+        if joined[s - 7 : s] == "base64,":
+            continue
+        if group == "w":
+            line = joined.rfind("\n", 0, s) + 1
+            if code and not (joined[s - 1 : s] == "=" and joined[e : e + 1] in ("'", '"', "`")) and not _COMMENT.search(joined, line, s):
+                continue
+            # A line of nothing else beside another such line is part of an encoded file.
+            if not joined[line:s].strip(" \t#*/") and _encoded_beside(joined, line, e):
+                continue
+        found.append((*spread(s, e, True), "literal"))
+    return found
+
+
+_FULL_LINE = re.compile(r"[ \t#*/]*[\w+/=\-]{20,}[ \t]*\r?$")
+
+
+def _encoded_beside(text: str, line: int, end: int) -> bool:
+    before = text[text.rfind("\n", 0, max(0, line - 1)) + 1 : max(0, line - 1)]
+    after = text.find("\n", end)
+    following = text[after + 1 : text.find("\n", after + 1) if text.find("\n", after + 1) >= 0 else len(text)] if after >= 0 else ""
+    return bool(_FULL_LINE.match(before) or _FULL_LINE.match(following))
+
+
 def _within(text: str, begin: int, finish: int, code: bool) -> list[tuple[int, int, str]]:
     part = text[begin:finish]
     found: list[tuple[int, int, str]] = []
@@ -187,19 +296,11 @@ def _within(text: str, begin: int, finish: int, code: bool) -> list[tuple[int, i
         body = re.sub(r"\\[rn]|[^A-Za-z0-9+/=]", "", text[begin + m.end() : end])
         if len(body) >= 40 and relative_entropy(body) >= RANDOM:
             found.append((s, end, "private key"))
-    # Literals in parts are read as one; at[k] is how much was taken out before borders[k].
-    borders, taken, out, at, total = [], [], [], 0, 0
-    for m in _GLUE.finditer(part):
-        out.append(part[at : m.start()])
-        borders.append(m.start() - total)
-        total += m.end() - m.start()
-        taken.append(total)
-        at = m.end()
-    joined = "".join([*out, part[at:]]) if borders else part
+    joined, spread = _glued(part)
 
     def add(s: int, e: int, kind: str) -> None:
-        k, j = bisect_left(borders, s) if kind == "named" else bisect_right(borders, s), bisect_left(borders, e)
-        found.append((begin + s + (taken[k - 1] if k else 0), begin + e + (taken[j - 1] if j else 0), kind))
+        s, e = spread(s, e, kind == "named")
+        found.append((begin + s, begin + e, kind))
 
     for m in _ADDRESS.finditer(joined):
         if is_password(m["v"], True) and not re.search(r"[{}$<>]", m["v"]):
@@ -225,6 +326,10 @@ def _within(text: str, begin: int, finish: int, code: bool) -> list[tuple[int, i
             if code and not certain and not _COMMENT.search(joined, line, m.start()):
                 continue
             value = value.rstrip(".,;:")
+        if m["o"] == "(" and _GETTERS & {w.lower() for w in _WORDS.findall(before + m["n"])}:
+            continue
+        if m["o"] == "," and not _argument(joined, k, before + m["n"]):
+            continue
         if _named(before + m["n"], value, unquoted, certain):
             s = m.start(group)
             add(s, s + len(value), "named")

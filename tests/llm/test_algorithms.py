@@ -204,6 +204,16 @@ def test_credentials():
     assert credentials.masked(parts, ".js") == f'pwd = "{credentials.MASK}" + "{credentials.MASK}"\nz = 2'
 
 
+def test_credentials_in_arguments():
+    secret = "9xvtKTTmsNXK4QkZfHzNGjVTq4OrD7Zp5YsSy6Si"
+    for line in (f'connect(host, "svc", "{secret}")', 'x.setPassword("Shelf#Ledger4760")', f'client.with_token("{secret}")', "m.put('password', 'Shelf#Ledger4760')", f'os.environ.setdefault("API_KEY", "{secret}")', f'connect(host, "{secret[:12]}" + "{secret[12:]}")', f"# ask with {secret} for now", f'fetch("/rows?access={secret}")', f"# old: index_secret={secret}", f'setKey("{secret}")'):
+        assert len(credentials.credential_lines(line, ".py")) == 1, line
+        assert secret not in credentials.masked(line, ".py") and "Ledger4760" not in credentials.masked(line, ".py")
+    assert credentials.masked(f"# cookie_secret={secret}", ".py") == f"# cookie_secret={credentials.MASK}"
+    for line in (f'f(integrity, "{secret}")', f'request_id = "{secret}"', 'load("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")', f'show("{"a1b2c3d4" * 5}")', f'icon("iVBORw0KGgo{secret}")', 'x = get_password("db/main-2")', 'open("lib/Widget2/HttpServerFactory3Impl")', f"-----BEGIN PUBLIC KEY-----\n{secret}\n-----END PUBLIC KEY-----"):
+        assert credentials.credential_lines(line, ".py") == [], line
+
+
 def test_documentation_pairs():
     python = 'def a():\n    """Reads all the rows of the table."""\n    return 1\n\ndef b(\n    x,\n):\n    # note\n    r"""TODO: write"""\n\nclass C:\n    """A class has words that do not count."""\n    async def d(self): "One two three four five."\n'
     assert sorted((x[0], x[1]) for x in docpairs.documented(python, ".py")) == [(1, "a"), (13, "d")]
