@@ -26,29 +26,27 @@ NAMELESS, RUN = 0.85, 2.6
 #: Prefixes by which issuers mark their tokens.
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9+/_\-])(?:"
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[\w\-]{30,40}|gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_\w{22,255}|glpat-[\w\-]{18,64}"
-    r"|xox[abprs]-[A-Za-z0-9\-]{16,200}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{10,}|(?:sk|rk|pk)_(?:live|prod)_[A-Za-z0-9]{16,128}"
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[\w\-]{30,}+|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_\w{22,}+|glpat-[\w\-]{18,}+"
+    r"|xox[abprs]-[A-Za-z0-9\-]{16,}+|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{10,}|(?:sk|rk|pk)_(?:live|prod)_[A-Za-z0-9]{16,}+"
     r"|npm_[A-Za-z0-9]{30,}|pypi-[\w\-]{40,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|sk-[A-Za-z0-9_\-]{24,}|hf_[A-Za-z0-9]{24,}|dop_v1_[a-f0-9]{64}|ya29\.[\w\-]{20,}"
     r")(?![A-Za-z0-9+/_=])"
 )
-_ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<u>[^\s:@/\"'`<>]{0,80}):(?P<v>[^\s@/\"'`]{3,200})@[A-Za-z0-9\[]")
-_HEADER = re.compile(r"(?i)\b(?P<k>basic|bearer|token|apikey)[ \t]+(?P<v>[A-Za-z0-9+/_=.\-]{8,600})(?![A-Za-z0-9+/_=.\-])")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<u>[^\s:@/\"'`<>]*+):(?P<v>[^\s@/\"'`]{3,}+)@[A-Za-z0-9\[]")
+_HEADER = re.compile(r"(?i)\b(?P<k>basic|bearer|token|apikey)[ \t]+(?P<v>[A-Za-z0-9+/_=.\-]{8,}+)")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END|\Z)", re.S)
-#: Longest private key looked at, in characters.
-_LONGEST_KEY = 20_000
+#: A line of a private key without its END mark: digits in base 64, quotes and glue around them, or a header.
+_KEY_LINE = re.compile(r"[^\S\n]*(?:[>#*/+\"'`]++[^\S\n]*+)*+(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*|(?:\\[rn]|[A-Za-z0-9+/])*+=*(?:\\[rn])*)[\"'`+;,)\\\s]*?(?:\n|\Z)")
 #: Words that name a password, and words that name a key or token.
 _PASSWORDS = frozenset("password passwd passphrase passcode pwd pass passwort kennwort passe contrasena contraseña clave senha palavra parola wachtwoord".split())
 _TOKENS = frozenset("secret secrets token tokens apikey key keys jwt pat bot hmac live auth authorization authentication credential credentials bearer signing accesskey secretkey authtoken".split())
 #: Words beside which a name means no credential of its own.
 _HARMLESS = frozenset("public pub field name names header label hint prompt column param parameter path file ref reference placeholder length min max policy regex pattern expiry ttl count type index primary foreign sort cache partition idempotency request trace commit sha sha1 sha256 sha512 md5 digest checksum hash fingerprint integrity etag icon image uuid version url uri endpoint".split())
 _NAME = re.compile(
-    r"(?P<n>(?i:pass|pwd|kennwort|contrase|clave|senha|palavra|parola|wachtwoord|secret|token|key|jwt|pat(?![a-z])|bot(?![a-z])|hmac|live|auth|credential|bearer)[\w$\-]*)"
+    r"(?P<n>(?i:pass|pwd|kennwort|contrase|clave|senha|palavra|parola|wachtwoord|secret|token|key|jwt|pat(?![a-z])|bot(?![a-z])|hmac|live|auth|credential|bearer)[\w$\-]*+)"
     r"[\"'`\])]{0,3}[ \t]*(?::[ \t]*[A-Za-z_][\w.<>\[\]|]*[ \t]*(?==[^=])|(?:\[[ \t]*\d*[ \t]*\])[ \t]*)?(?P<o>:=|=>|==|!=|=|:|[(,](?=\s*[rRbBuUfFL@]{0,2}[\"'`])|[ \t]+(?=[\"'`]))[ \t]*(?:\([ \t]*)?(?:\r?\n[ \t]*)?"
-    r"(?:[rRbBuUfFL@]{0,2}(?:\"(?P<d>(?:[^\"\\\n]|\\.){4,400})\"|'(?P<s>(?:[^'\\\n]|\\.){4,400})'|`(?P<t>[^`\n]{4,400})`)|(?P<r>[^\s\"'`,;(){}\[\]<>]{6,400}))",
+    r"(?:[rRbBuUfFL@]{0,2}(?:\"(?P<d>(?:[^\"\\\n]|\\.){4,}+)\"|'(?P<s>(?:[^'\\\n]|\\.){4,}+)'|`(?P<t>[^`\n]{4,}+)`)|(?P<r>[^\s\"'`,;(){}\[\]<>]{6,}+))",
 )
-#: Characters looked at before a name, for the rest of the name and for the mark of a comment.
-NAME_REACH, LINE_REACH = 100, 4000
 _GLUE = re.compile(r"([\"'`])[ \t]*(?:\+[ \t]*(?:\\?\r?\n[ \t]*)?|\\?\r?\n[ \t]*(?:\+[ \t]*)?|[ \t]+)[rRbBuU]?\1(?=[^\"'`\s,;:)\]}])")
 _STAND_IN = re.compile(
     r"(?i)[<>{}$%]\w*\b.*[<>})]|\$\{|\{\{|^\$\w+$|^%|<[^>]*>|^\(|\.\.\.|\*{3,}|x{4,}|0{6,}|1234567890|redacted|placeholder|example|change[-_]?me|insert|your[-_]|^(?:vault|env|file|ssm|arn|secret|kms|op|ref):|process\.env|environ"
@@ -89,11 +87,17 @@ def _regions(text: str) -> list[tuple[int, int]]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: list[list[int]] = []
     done = -1
+    address = low.find("@")
     for at, word in _triggers().iter(low):
         if at < done:
             continue
-        if word == "key" and low[at + 1 : at + 10].lstrip(" \t")[:1] not in tuple("=:\"'`_-](,)si0123456789") or word == "://" and low.find("@", at, at + 300) < 0:
+        if word == "key" and low[at + 1 : at + 10].lstrip(" \t")[:1] not in tuple("=:\"'`_-](,)si0123456789") :
             continue
+        if word == "://":
+            if 0 <= address < at:
+                address = low.find("@", at)
+            if address < 0:
+                continue
         if word in ("pat", "bot") and low[at + 1 : at + 2].isalpha():
             continue
         start = text.rfind("\n", 0, at) + 1
@@ -141,7 +145,7 @@ def is_password(value: str, certain: bool = False) -> bool:
 
     ``certain``: its place alone tells that it is one, so mixed case is enough.
     """
-    if len(value) < 6 or len(value) > 128 or re.search(r"\s", value) or _STAND_IN.search(value) or _PLACEHOLDER.search(value) or _UUID.fullmatch(value):
+    if len(value) < 6 or re.search(r"\s", value) or _STAND_IN.search(value) or _PLACEHOLDER.search(value) or _UUID.fullmatch(value):
         return False
     if not re.search(r"[A-Za-z]", value) or value.count("/") > 1 and re.fullmatch(r"[\w\-./]+", value):
         return False
@@ -286,13 +290,24 @@ def _encoded_beside(text: str, line: int, end: int) -> bool:
     return bool(_FULL_LINE.match(before) or _FULL_LINE.match(following))
 
 
+def _key_end(text: str, at: int) -> int:
+    """Where a private key ends whose BEGIN mark ends at ``at``: at its END mark, or with its last line if there is none before the next BEGIN."""
+    following = text.find("-----BEGIN", at)
+    end = text.find("-----END", at, following if following >= 0 else len(text))
+    if end >= 0:
+        return end
+    last = at
+    while last < len(text) and (m := _KEY_LINE.match(text, last)) and m.end() > last:
+        last = m.end()
+    return last
+
+
 def _within(text: str, begin: int, finish: int, code: bool) -> list[tuple[int, int, str]]:
     part = text[begin:finish]
     found: list[tuple[int, int, str]] = []
     for m in _PRIVATE.finditer(part):
         s = begin + m.start()
-        end = text.find("-----END", s, s + _LONGEST_KEY)
-        end = min(len(text), s + _LONGEST_KEY) if end < 0 else end
+        end = _key_end(text, begin + m.end())
         body = re.sub(r"\\[rn]|[^A-Za-z0-9+/=]", "", text[begin + m.end() : end])
         if len(body) >= 40 and relative_entropy(body) >= RANDOM:
             found.append((s, end, "private key"))
@@ -312,18 +327,25 @@ def _within(text: str, begin: int, finish: int, code: bool) -> list[tuple[int, i
         kind, value = m["k"].lower(), m["v"]
         if kind == "basic" and _basic(value) or kind != "basic" and is_random(value):
             add(*m.span("v"), "header")
+    line, stop, mark = 0, -1, -1
     for m in _NAME.finditer(joined):
         group = "d" if m["d"] is not None else "s" if m["s"] is not None else "t" if m["t"] is not None else "r"
         value, unquoted, certain = m[group], group == "r", False
-        low = max(0, m.start() - LINE_REACH)
-        line = max(low, joined.rfind("\n", low, m.start()) + 1)
+        if m.start() > stop:
+            line = joined.rfind("\n", 0, m.start()) + 1
+            stop = joined.find("\n", m.start())
+            stop = len(joined) if stop < 0 else stop
+            mark = comment.end() if (comment := _COMMENT.search(joined, line, stop)) else len(joined) + 1
         k = m.start()
-        while k > max(line, m.start() - NAME_REACH) and (joined[k - 1].isalnum() or joined[k - 1] in "_$-."):
+        while k > line and (joined[k - 1].isalnum() or joined[k - 1] in "_$-."):
             k -= 1
         before = joined[k : m.start()]
         if unquoted:
-            certain = joined[line : m.start() - len(before)].rstrip()[-1:] == ";"
-            if code and not certain and not _COMMENT.search(joined, line, m.start()):
+            j = k
+            while j > line and joined[j - 1].isspace():
+                j -= 1
+            certain = j > line and joined[j - 1] == ";"
+            if code and not certain and mark > m.start():
                 continue
             value = value.rstrip(".,;:")
         if m["o"] == "(" and _GETTERS & {w.lower() for w in _WORDS.findall(before + m["n"])}:
