@@ -29,6 +29,78 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     return found.select("repository", F.size("nodes").cast("long").alias("length"), F.array_join("nodes", " -> ").alias("cycle"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(repository, path, component): each file on a cycle, with the smallest path of its strongly connected component.
+
+    Files without a way in or out are trimmed. Labels of the smallest file that leads to each
+    then spread forward, with pointer jumping; the files of a label that lead back to the file
+    it names are its component, and the rest goes round again until no edge is left.
+    """
+    from ..sources.tables import written
+
+    e, left = written(clean_edges(edges)), None
+    out = e.select("repository", F.col("src").alias("path"), F.col("src").alias("component")).limit(0)
+    while True:
+        while (n := e.count()) and n != left:
+            left = n
+            for _ in range(2):
+                e = e.join(e.select("repository", F.col("dst").alias("src")).distinct(), ["repository", "src"], "leftsemi").join(e.select("repository", F.col("src").alias("dst")).distinct(), ["repository", "dst"], "leftsemi").select("repository", "src", "dst")
+            e = written(e)
+        if not n:
+            return out
+        labels, changed = written(e.select("repository", F.col("src").alias("path"), F.col("src").alias("label")).distinct()), True
+        while changed:
+            near = e.join(labels.withColumnRenamed("path", "src"), ["repository", "src"]).groupBy("repository", F.col("dst").alias("path")).agg(F.min("label").alias("near"))
+            best = labels.join(near, ["repository", "path"], "left").select("repository", "path", F.least("label", "near").alias("best"), "label")
+            jump = labels.select("repository", F.col("path").alias("best"), F.col("label").alias("further"))
+            new = written(best.join(jump, ["repository", "best"]).select("repository", "path", F.least("best", "further").alias("label"), F.col("label").alias("old")))
+            labels, changed = new.drop("old"), bool(new.filter("label <> old").limit(1).count())
+        ends = labels.withColumnRenamed("path", "src").withColumnRenamed("label", "component")
+        inner = written(e.join(ends, ["repository", "src"]).join(ends.withColumnRenamed("src", "dst"), ["repository", "dst", "component"]))
+        front = inner.filter("src = component").select("repository", F.col("src").alias("path"), "component").distinct()
+        back = front = written(front)
+        while front.limit(1).count():
+            before = inner.join(front.withColumnRenamed("path", "dst"), ["repository", "dst", "component"]).select("repository", F.col("src").alias("path"), "component").distinct()
+            front = written(before.join(back, ["repository", "path", "component"], "leftanti"))
+            back = back.unionByName(front)
+        # A label that nothing leads back to has its own file alone, which is on no cycle.
+        lone = back.groupBy("repository", "component").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        out = out.unionByName(written(back.join(lone, ["repository", "component"], "leftsemi").select("repository", "path", "component")))
+        rest = inner.select("repository", "src", "dst")
+        for end in ("src", "dst"):
+            rest = rest.join(back.select("repository", F.col("path").alias(end)), ["repository", end], "leftanti")
+        e, left = written(rest.select("repository", "src", "dst")), None
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(repository, path, component, files, length, cycle): each file on a cycle of any length, with one shortest through it.
+
+    ``component`` is the smallest path of the file's strongly connected component, of
+    ``files`` files. ``cycle`` starts at the file; of several shortest it is the first by its
+    paths. The search from a file stays in its component and ends when it closes.
+    """
+    from ..sources.tables import written
+
+    members = written(strong_components(edges))
+    own = members.select("repository", F.col("path").alias("src"), "component")
+    step = written(clean_edges(edges).join(own, ["repository", "src"]).join(own.withColumnRenamed("src", "dst"), ["repository", "dst", "component"]).select("repository", F.col("src").alias("at"), F.col("dst").alias("next")))
+    front = members.select("repository", F.col("path").alias("start"), F.col("path").alias("at"), F.array("path").alias("nodes"))
+    seen, found = None, front.select("repository", "start", "nodes").limit(0)
+    while front.limit(1).count():
+        ahead = written(front.join(step, ["repository", "at"]).select("repository", "start", "next", "nodes"))
+        closed = written(ahead.filter("next = start").groupBy("repository", "start").agg(F.min("nodes").alias("nodes")))
+        found = found.unionByName(closed)
+        new = ahead.join(closed.select("repository", "start"), ["repository", "start"], "leftanti").groupBy("repository", "start", F.col("next").alias("at")).agg(F.min("nodes").alias("nodes"))
+        if seen is not None:
+            new = new.join(seen, ["repository", "start", "at"], "leftanti")
+        front = written(new.select("repository", "start", "at", F.array_append("nodes", F.col("at")).alias("nodes")))
+        now = front.select("repository", "start", "at")
+        seen = now if seen is None else seen.unionByName(now)
+    sizes = members.groupBy("repository", "component").agg(F.count("*").alias("files"))
+    cycle = found.select("repository", F.col("start").alias("path"), F.size("nodes").cast("long").alias("length"), F.array_join("nodes", " -> ").alias("cycle"))
+    return members.join(sizes, ["repository", "component"]).join(cycle, ["repository", "path"]).select("repository", "path", "component", "files", "length", "cycle")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(repository, path, imports, imported_by)."""
     e = clean_edges(edges)

@@ -272,6 +272,7 @@ add(
     "cycles", graph.cycles, "edges",
     sql=f"WITH RECURSIVE {E_}, p AS (SELECT repository, [src, dst] AS nodes, false AS closed FROM e WHERE src < dst UNION ALL SELECT p.repository, CASE WHEN e.dst = nodes[1] THEN nodes ELSE list_append(nodes, e.dst) END, e.dst = nodes[1] FROM p JOIN e ON e.repository = p.repository AND e.src = nodes[-1] WHERE NOT closed AND len(nodes) <= 4 AND (e.dst = nodes[1] OR (len(nodes) < 4 AND e.dst > nodes[1] AND NOT list_contains(nodes, e.dst)))) SELECT repository, CAST(len(nodes) AS BIGINT) AS length, array_to_string(nodes, ' -> ') AS cycle FROM p WHERE closed",
 )
+add("cycle_members", graph.cycle_members, "edges")
 add("degrees", graph.degrees, "edges", sql=f"WITH {E_}, d AS (SELECT repository, src AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT repository, dst, 0, 1 FROM e) SELECT repository, path, CAST(sum(o) AS BIGINT) AS imports, CAST(sum(i) AS BIGINT) AS imported_by FROM d GROUP BY repository, path")
 add("component_sizes", graph.component_sizes, "edges", sql=f"WITH RECURSIVE {E_}, u AS (SELECT repository, src AS a, dst AS b FROM e UNION SELECT repository, dst, src FROM e), r AS (SELECT repository, a AS root, a AS node FROM u UNION SELECT r.repository, r.root, u.b FROM r JOIN u ON u.repository = r.repository AND u.a = r.node), m AS (SELECT repository, node, min(root) AS component FROM r GROUP BY repository, node) SELECT repository, component, count(*) AS nodes FROM m GROUP BY repository, component")
 

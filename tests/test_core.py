@@ -89,6 +89,19 @@ def test_cycles_and_components(spark):
     assert graph.cycles(edges.limit(0)).count() == graph.component_sizes(edges.limit(0)).count() == 0
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"{k:02}", f"{(k + 1) % 21:02}") for k in range(21)]
+    pairs = [*ring, ("05", "03"), ("20", "x"), ("w", "00"), ("x", "y"), ("y", "z"), ("z", "y"), ("z", "u"), ("u", "v"), ("x", None), ("w", "w")]
+    edges = spark.createDataFrame([("r", *p) for p in pairs] + [("s", "00", "01")], EDGES)
+    short = {k: "03 -> 04 -> 05" for k in ("03", "04", "05")}
+    found = {r["path"]: r for r in graph.cycle_members(edges).collect()}
+    assert set(found) == {a for a, _ in ring} | {"y", "z"} and {r["repository"] for r in found.values()} == {"r"}
+    assert {r["component"] for k, r in found.items() if k < "u"} == {"00"} and found["00"]["files"] == 21 and (found["z"]["component"], found["z"]["files"]) == ("y", 2)
+    assert all(r["length"] == (3 if k in short else 2 if k > "u" else 21) for k, r in found.items())
+    assert found["04"]["cycle"] == "04 -> 05 -> 03" and found["19"]["cycle"].startswith("19 -> 20 -> 00 -> 01")
+    assert graph.cycle_members(edges.limit(0)).count() == 0
+
+
 def test_history(spark):
     at = lambda k: DAY + timedelta(days=k)
     points = [("f.py::g", "r", f"c{k}", at(k), n, c) for k, (n, c) in enumerate([(10, 4), (20, None), (40, 12)])] + [("f.py::h", "r", "c0", at(0), 0, 1), ("f.py::h", "r", "c1", at(1), 5, 1), ("z.py::one", "r", "c0", at(0), 5, None)]
