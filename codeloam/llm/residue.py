@@ -62,7 +62,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 def _phrases(line: str) -> str | None:
     """The kind of the phrases that cover most of a line, if they do."""
-    if len(line) > 600 or "`" in line:  # phrases beside identifiers are what a text is about
+    if "`" in line:  # phrases beside identifiers are what a text is about
         return None
     low = line.lower()
     if len(low) != len(line):
@@ -118,7 +118,7 @@ def residue(text: str) -> str | None:
         found = _phrases(line)
         if found:
             return found
-        if len(line) > 40 and "`" not in line:
+        if len(line) > 40:
             for sentence in _SENTENCE.split(line):
                 if len(sentence) >= 20 and sentence != line and not _QUOTED.search(sentence):
                     if _filler(sentence):
