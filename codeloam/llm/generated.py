@@ -25,8 +25,10 @@ _OUTSIDE = re.compile(
     r"|\bkopie\b.{0,40}\bbibliothek\b|\bcopie\b.{0,40}\b(?:bibliothèque|librairie)\b.{0,40}\d|\bcopia\b.{0,40}\b(?:biblioteca|librería)\b.{0,40}\d"
     r"|^\W*[\w.\-]+\s+v?\d+\.\d+(?:\.\d+)?\b.{0,120}(?:https?://|copyright|\(c\)|licen[sc]e)"
 )
-#: Characters from the start in which a notice of an outside library stands.
+#: Characters from the start in which a notice of an outside library may stand behind code.
 HEAD = 3000
+#: Lines that belong to the head of a file, however long it is.
+_IMPORT = re.compile(r"(?:import\b|from\b|package\b|#\s*(?:include|pragma|ifndef|define)\b|using\b|use\b|(?:const|let|var)\b.*\brequire\b|[\s\"'`()\[\]{},;]*$)")
 #: Parts above which a file is judged by the composition of its tokens.
 LITERAL, REPEATED, DENSE = 0.85, 0.7, 90
 _NUMBER = re.compile(r"(?<!\w)-?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)[fFlLuU]*[\s,\]})]*")
@@ -42,7 +44,7 @@ def composition(text: str, extension: str) -> str | None:
     notes = [" ".join(comment_text("\n".join(text[s:e] for s, e in block)).split()) for block in blocks]
     if any(_TOOL.search(n) for n in notes):
         return "generated"
-    if notes and any(_OUTSIDE.search(n) for n, b in zip(notes, blocks) if b[0][0] < HEAD):
+    if any(_OUTSIDE.search(n) and (b[0][0] < HEAD or _in_head(text, found, b[0][0])) for n, b in zip(notes, blocks)):
         return "vendored"
     if len(text) < 200:
         return None
@@ -68,6 +70,12 @@ def composition(text: str, extension: str) -> str | None:
     return "generated" if total >= 4 and sum(n for n in windows.values() if n >= RECURS) >= REPEATED * total else None
 
 
+def _in_head(text: str, found: list[tuple[str, int, int]], at: int) -> bool:
+    """Nothing but comments, literals and imports stands before ``at``."""
+    before = blanked(text[:at], [x for x in found if x[2] <= at])
+    return all(_IMPORT.match(line.strip()) for line in before.split("\n"))
+
+
 def _valued(text: str, found: list[tuple[str, int, int]]) -> str:
     out, at = [], 0
     for kind, s, e in found:

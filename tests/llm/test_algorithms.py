@@ -266,6 +266,14 @@ def test_residue_beside_inline_code():
     assert residue.residue("Something went wrong on our side. Please try again later. " * 12) == "error"
 
 
+def test_notice_behind_a_long_head():
+    licence = "/*\n" + " * Permission is granted to any person to use the text as they like.\n" * 60 + " */\n"
+    code = "export function a(x) {\n  return x;\n}\n"
+    notice = "/* Vendored from widgets. */\n"
+    assert generated.composition(licence + 'import b from "b";\n' + notice + code, ".js") == "vendored"
+    assert generated.composition(licence + code + notice, ".js") is None
+
+
 def test_residue():
     yes = ["{{ user_name }} reads the table.", "Call `<INSERT NAME HERE>` first.", "blah blah blah blah blah blah", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "404 Not Found", "Oops! Something went wrong on our side. Try again in 5 minutes.", "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Text before.\n\nThis site needs JavaScript. Loading x…", "Accès refusé. Veuillez vous connecter."]
     no = ["", "   ", "The template holds `{{ a.b }}`, and the renderer fills it.", "```\nhello ${a.b}\n```\nThe snippet shows a variable.", "We retry on 502 Bad Gateway up to 5 times before `f` gives up.", "`f` returns lorem ipsum paragraphs and is used only by the tests.", "Run the suite with JavaScript enabled, otherwise the test is skipped.", 'The message "Access denied" in `f` should name the role.']
