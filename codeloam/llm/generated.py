@@ -25,8 +25,6 @@ _OUTSIDE = re.compile(
     r"|\bkopie\b.{0,40}\bbibliothek\b|\bcopie\b.{0,40}\b(?:bibliothèque|librairie)\b.{0,40}\d|\bcopia\b.{0,40}\b(?:biblioteca|librería)\b.{0,40}\d"
     r"|^\W*[\w.\-]+\s+v?\d+\.\d+(?:\.\d+)?\b.{0,120}(?:https?://|copyright|\(c\)|licen[sc]e)"
 )
-#: Characters from the start in which a notice of an outside library may stand behind code.
-HEAD = 3000
 #: Lines that belong to the head of a file, however long it is.
 _IMPORT = re.compile(r"(?:import\b|from\b|package\b|#\s*(?:include|pragma|ifndef|define)\b|using\b|use\b|(?:const|let|var)\b.*\brequire\b|[\s\"'`()\[\]{},;]*$)")
 #: Parts above which a file is judged by the composition of its tokens.
@@ -44,7 +42,7 @@ def composition(text: str, extension: str) -> str | None:
     notes = [" ".join(comment_text("\n".join(text[s:e] for s, e in block)).split()) for block in blocks]
     if any(_TOOL.search(n) for n in notes):
         return "generated"
-    if any(_OUTSIDE.search(n) and (b[0][0] < HEAD or _in_head(text, found, b[0][0])) for n, b in zip(notes, blocks)):
+    if any(_OUTSIDE.search(n) and _in_head(text, found, b[0][0]) for n, b in zip(notes, blocks)):
         return "vendored"
     if len(text) < 200:
         return None
@@ -94,25 +92,26 @@ def line_index(files: DataFrame, shortest: int = 25) -> DataFrame:
     return rows.select("row", "file_id", "repo", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "h"))
 
 
-def cross_repository(files: DataFrame, containment: float = 0.8, rare: int = 1000, least: int = 8) -> DataFrame:
+def cross_repository(files: DataFrame, containment: float = 0.8, least: int = 8) -> DataFrame:
     """(file_id) of the files of which ``containment`` of all telling lines stand in other repositories.
 
-    An inverted index of line hashes keeps those of two repositories or more. A line in at
-    most ``rare`` files counts by itself. One in more may be a common turn or part of a
-    library with many copies: it counts where two repositories or more have it together with
-    one of the three indexed lines before or after it. Equal and edited copies are thus
-    found however many there are. Lines and pairs are combined by map tasks before they
-    are shuffled, and each is joined with one row a key.
+    An inverted index of line hashes keeps those of two repositories or more. A line may be
+    a common turn, so it counts only where another repository has it, too, together with two
+    of the three indexed lines before or after it, in their order. Equal and edited copies are
+    thus found however many there are, and nothing depends on how often a line occurs. Lines
+    and triples are combined by map tasks before they are shuffled, and each is joined with
+    one row a key.
     """
     lines = line_index(files)
-    index = lines.groupBy("h").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.count("*").alias("files")).filter(F.col("low") < F.col("high")).select("h", (F.col("files") > rare).alias("hot"))
-    held = written(lines.join(index, "h").groupBy("row", "file_id", "repo", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "hot"))).alias("held")))
-    near = F.expr("filter(flatten(transform(held, (x, i) -> transform(slice(held, i + 2, 3), y -> struct(xxhash64(x.h, y.h) AS pair, filter(array(if(x.hot, x.pos, NULL), if(y.hot, y.pos, NULL)), p -> p IS NOT NULL) AS at)))), z -> size(z.at) > 0)")
+    repositories = (F.min("repo").alias("low"), F.max("repo").alias("high"))
+    index = lines.groupBy("h").agg(*repositories).filter("low < high").select("h")
+    held = written(lines.join(index, "h").groupBy("row", "file_id", "repo", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("held")))
+    key = lambda a, b: f"struct(xxhash64(get(s, 0).h, get(s, {a}).h, get(s, {b}).h) AS triple, array(get(s, 0).pos, get(s, {a}).pos, get(s, {b}).pos) AS at)"
+    near = F.expr(f"flatten(transform(transform(held, (x, i) -> slice(held, i + 1, 4)), s -> CASE size(s) WHEN 4 THEN array({key(1, 2)}, {key(1, 3)}, {key(2, 3)}) WHEN 3 THEN array({key(1, 2)}) ELSE slice(array({key(1, 2)}), 1, 0) END))")
     kept = held.filter((F.col("n") >= least) & (F.size("held") >= containment * F.col("n")))
-    pairs = held.select("repo", F.explode(near).alias("z")).groupBy("z.pair").agg(F.min("repo").alias("low"), F.max("repo").alias("high")).filter(F.col("low") < F.col("high")).select("pair")
-    backed = kept.select("row", F.inline(near)).join(pairs, "pair").select("row", F.explode("at").alias("pos")).groupBy("row").agg(F.count_distinct("pos").alias("backed"))
-    alone = F.size(F.filter("held", lambda x: ~x["hot"]))
-    return kept.join(backed, "row", "left").filter(alone + F.coalesce("backed", F.lit(0)) >= containment * F.col("n")).select("file_id").distinct()
+    triples = held.select("repo", F.explode(near).alias("z")).groupBy("z.triple").agg(*repositories).filter("low < high").select("triple")
+    backed = kept.select("row", "file_id", "n", F.inline(near)).join(triples, "triple").select("row", "file_id", "n", F.explode("at").alias("pos"))
+    return backed.groupBy("row", "file_id", "n").agg(F.count_distinct("pos").alias("backed")).filter(F.col("backed") >= containment * F.col("n")).select("file_id").distinct()
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
