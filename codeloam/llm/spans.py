@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -139,29 +140,57 @@ class SharedSpans:
         near = regions.join(kept, ["file_id", "start"]).select("file_id", "start", "text", "kept")
         return written(near.mapInArrow(_narrow(length, self.least), "file_id long, class long, start int, text string"))
 
-    def class_pairs(self) -> DataFrame:
-        """(class_a, class_b) of the classes that share a span, class_a < class_b.
+    @cached_property
+    def _groups(self) -> DataFrame:
+        """(h, class_id, n, top, settled): the sets of n classes that hold a window, each once, by member.
 
-        Windows held by the same set of texts count once, so a long common passage is
-        paired no more often than a short one.
+        ``top`` is the largest set of the class. A set is settled if all its members have the
+        same top: it is then a part of that set and links nothing that the top doesn't.
         """
         holders = self.windows.select("h", "file_id").distinct()
         who = [F.count("*").alias("n"), F.min("file_id").alias("low"), F.max("file_id").alias("high"), *(F.bit_xor(F.xxhash64("file_id", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
         sets = holders.groupBy("h").agg(*who).filter("low < high")
-        chosen = sets.groupBy("n", "low", "high", "x1", "x2").agg(F.min("h").alias("h")).select("h")
-        rows = holders.join(chosen, "h")
-        a, b = rows.withColumnRenamed("file_id", "class_a"), rows.withColumnRenamed("file_id", "class_b")
-        return a.join(b, "h").filter("class_a < class_b").select("class_a", "class_b").distinct()
+        chosen = sets.groupBy("n", "low", "high", "x1", "x2").agg(F.min("h").alias("h")).select("h", "n")
+        rows = written(holders.join(chosen, "h").select("h", F.col("file_id").alias("class_id"), "n"))
+        ranked = rows.join(rows.groupBy("class_id").agg(F.max(F.struct("n", "h")).alias("top")), "class_id")
+        settled = ranked.groupBy("h").agg((F.min("top.h") == F.max("top.h")).alias("settled"))
+        return written(ranked.join(settled, "h").select("h", "class_id", "n", "top", "settled"))
+
+    def span_groups(self) -> DataFrame:
+        """(group_id, class_id, classes): classes that hold a common span, as groups of ``classes`` members.
+
+        Two classes share a span if and only if they are in one group together. Groups that are
+        known to be part of another are left out. This form grows with the number of classes,
+        not of their pairs, however common a span is.
+        """
+        return self._groups.filter("NOT settled OR h = top.h").select(F.col("h").alias("group_id"), "class_id", F.col("n").alias("classes"))
+
+    def class_pairs(self) -> DataFrame:
+        """(class_a, class_b) of the classes that share a span, class_a < class_b.
+
+        Pairs are made in the groups of ``span_groups``, so a long common passage is paired
+        no more often than a short one.
+        """
+        rows = self.span_groups().select("group_id", "class_id")
+        a, b = rows.withColumnRenamed("class_id", "class_a"), rows.withColumnRenamed("class_id", "class_b")
+        return a.join(b, "group_id").filter("class_a < class_b").select("class_a", "class_b").distinct()
 
     def membership(self) -> DataFrame:
         """(file_id, class_id, copies) of each record long enough to share a span."""
         return self.members.join(self.classes, "digest").select("file_id", "class_id", "copies")
 
     def linked_classes(self) -> DataFrame:
-        """(file_id, class_id, copies, links): links is the number of other classes that share a span with the record's."""
-        pairs = self.class_pairs()
-        both = pairs.select(F.col("class_a").alias("class_id")).unionByName(pairs.select(F.col("class_b").alias("class_id")))
-        links = both.groupBy("class_id").agg(F.count("*").alias("links"))
+        """(file_id, class_id, copies, links): links is the number of other classes that share a span with the record's.
+
+        A class of which all groups lie in its largest has as many links as that has other
+        members; only for the rest are members of common groups joined and counted.
+        """
+        within = F.col("settled") | (F.col("h") == F.col("top.h"))
+        kinds = self._groups.groupBy("class_id").agg(F.bool_and(within).alias("settled"), (F.max("top.n") - 1).alias("links"))
+        rest = self.span_groups().select("group_id", F.col("class_id").alias("other"))
+        open_ones = kinds.filter("NOT settled").select("class_id").join(self.span_groups().select("group_id", "class_id"), "class_id")
+        counted = open_ones.join(rest, "group_id").filter("class_id <> other").groupBy("class_id").agg(F.count_distinct("other").alias("links"))
+        links = kinds.filter("settled").select("class_id", "links").unionByName(counted)
         return self.membership().join(links, "class_id", "left").select("file_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
     def record_pairs(self) -> DataFrame:
