@@ -40,6 +40,7 @@ _BODY = {
     ".c": re.compile(r"\s*(?:__attribute__\s*\(\([^\n]*\)\))?\s*\{"),
 }
 _BODY[".ts"] = re.compile(r"[ \t]*(?::[ \t]*(?:[^={};\n]|\{[^{}\n]*\}|=>)+)?\s*\{")
+_ARROW_BODY = re.compile(r"\s*(\{)?")
 _COLON = re.compile(r"\s*(?:->[ \t]*[^:\n]*)?[ \t]*:")
 _SPACE = re.compile(r"\s*(?:\\\r?\n\s*)*")
 _TAG_LINE = re.compile(r"^[ \t]*(?:@|:).*$", re.M)
@@ -53,17 +54,40 @@ def description(raw: str, extension: str) -> str:
     return re.sub(r"[ \t]*\n[ \t\n]*", "\n", _TODO.sub("", _TAG_LINE.sub("", text))).strip()
 
 
-def closing(blank: str, at: int) -> int:
-    """The end of the bracket that opens at ``at``, or -1."""
-    depth = 0
-    for m in _BRACKET.finditer(blank, at):
+def brackets(blank: str) -> dict[int, int]:
+    """Start of each bracket -> its end, by one stack; brackets without a partner are left out."""
+    stack: list[int] = []
+    out: dict[int, int] = {}
+    for m in _BRACKET.finditer(blank):
         if m[0] in "([{":
-            depth += 1
-        else:
-            depth -= 1
-            if not depth:
-                return m.end()
-    return -1
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.end()
+    return out
+
+
+def indented_blocks(blank: str, found: list[tuple[str, int, int]], closed: dict[int, int], lines: list[int]) -> dict[int, int]:
+    """Start of each line -> the start of the next line that is not deeper, by one stack.
+
+    Lines that are blank, hold a comment alone, or begin inside a bracket or literal, count as none.
+    """
+    out: dict[int, int] = {}
+    stack: list[tuple[int, int]] = []
+    inner = sorted([*closed.items(), *((s, e) for _, s, e in found)])
+    k = reached = 0
+    for n, s in enumerate(lines):
+        while k < len(inner) and inner[k][0] < s:
+            reached = max(reached, inner[k][1])
+            k += 1
+        stop = lines[n + 1] if n + 1 < len(lines) else len(blank)
+        bare = blank[s:stop].lstrip(" \t\f")
+        if s < reached or not bare.strip():
+            continue
+        depth = stop - s - len(bare)
+        while stack and stack[-1][0] >= depth:
+            out[stack.pop()[1]] = s
+        stack.append((depth, s))
+    return out | {s: len(blank) for _, s in stack}
 
 
 def functions(text: str, extension: str) -> Iterator[tuple[int, str, int, int, str]]:
@@ -72,24 +96,25 @@ def functions(text: str, extension: str) -> Iterator[tuple[int, str, int, int, s
     blank = blanked(text, found)
     starts = [s for _, s, _ in found]
     lines = [0, *(m.end() for m in re.finditer(r"\n", text))]
-    seen: set[int] = set()
+    closed = brackets(blank)
+    blocks = indented_blocks(blank, found, closed, lines) if extension == ".py" else {}
+    seen: dict[int, tuple[int, re.Match]] = {}
     for number, pattern in enumerate(SIGNATURES[extension]):
         for m in pattern.finditer(blank):
-            name = m.start("n")
-            if name in seen:
-                continue
-            seen.add(name)
-            if extension == ".py":
-                hit = _python(text, blank, m, found, starts, lines)
-            else:
-                hit = _braced(text, blank, m, extension, number, found, starts, lines)
-            if hit:
-                yield bisect_right(lines, name), m["n"], *hit
-
-
-def _python(text, blank, m, found, starts, lines):
-    end = closing(blank, m.end() - 1)
-    colon = _COLON.match(blank, end) if end >= 0 else None
+            seen.setdefault(m.start("n"), (number, m))
+    begins = sorted(m.start() for _, m in seen.values())
+    for name, (number, m) in seen.items():
+        if extension == ".py":
+            hit = _python(text, m, found, starts, lines, closed, blocks)
+        else:
+            hit = _braced(text, blank, m, extension, number, found, starts, lines, closed, begins)
+        if hit:
+            yield bisect_right(lines, name), m["n"], *hit
+
+
+def _python(text, m, found, starts, lines, closed, blocks):
+    end = closed.get(m.end() - 1, -1)
+    colon = _COLON.match(m.string, end) if end >= 0 else None
     if not colon:
         return None
     at = colon.end()
@@ -108,29 +133,20 @@ def _python(text, blank, m, found, starts, lines):
     raw = text[at : found[k][2]]
     if re.match(r"[rRuU]?[bBfF]", raw):
         return None
-    column = len(m[0]) - len(m[0].lstrip()) if "\n" in text[colon.end() : at] else -1
-    line = lines[bisect_right(lines, at) - 1]
-    if column >= 0 and at - line <= column:
+    column = len(m[0]) - len(m[0].lstrip())
+    if "\n" in text[colon.end() : at] and at - lines[bisect_right(lines, at) - 1] <= column:
         return None
-    # Indentation stack: the body ends before the first line that is not deeper than the definition.
-    stop = len(text)
-    own = len(m[0]) - len(m[0].lstrip("\n").lstrip(" \t"))
-    for s in lines[bisect_right(lines, found[k][2]) :]:
-        stripped = blank[s : blank.find("\n", s) if blank.find("\n", s) >= 0 else len(blank)]
-        if stripped.strip() and len(stripped) - len(stripped.lstrip()) <= own and not text[s:].lstrip().startswith("#"):
-            stop = s
-            break
-    return m.start(), stop, raw
-
-
-def _braced(text, blank, m, extension, number, found, starts, lines):
+    return m.start(), blocks.get(m.start(), len(text)), raw
+
+
+def _braced(text, blank, m, extension, number, found, starts, lines, closed, begins):
     script = extension in (".js", ".ts")
     arrow = script and number in (1, 2)
-    end = m.end() if script and number == 2 else closing(blank, m.end() - 1)
+    end = m.end() if script and number == 2 else closed.get(m.end() - 1, -1)
     if end < 0:
         return None
     if script and number == 2:
-        body = re.compile(r"\s*(\{)?").match(blank, end)
+        body = _ARROW_BODY.match(blank, end)
     elif arrow and not m["f"]:
         body = _BODY[".arrow"].match(blank, end)
     else:
@@ -138,8 +154,10 @@ def _braced(text, blank, m, extension, number, found, starts, lines):
     if not body:
         return None
     if body[0].endswith("{"):
-        stop = closing(blank, body.end() - 1)
-        stop = len(text) if stop < 0 else stop
+        stop = closed.get(body.end() - 1)
+        if stop is None:  # never closed
+            following = bisect_right(begins, m.start("n"))
+            stop = begins[following] if following < len(begins) else len(text)
     else:  # an arrow with an expression
         stop = blank.find("\n", body.end())
         stop = len(text) if stop < 0 else stop
@@ -185,8 +203,8 @@ def documented(text: str, extension: str, least: int = 5) -> Iterator[tuple[int,
 def doc_pairs(files: DataFrame, least: int = 5) -> DataFrame:
     """(file_id, def_line, name, code, description), one row a function with documentation of ``least`` words.
 
-    The body is delimited by indentation or by matching brackets; where a file is cut, it
-    ends with the file. NULL and empty texts give nothing, a file_id delivered twice
+    The body is delimited by one stack, of indentation or of brackets; a body that is
+    never closed ends before the next signature, or with the file. NULL and empty texts give nothing, a file_id delivered twice
     gives its functions once, other columns are ignored.
     """
     rows = code_records(files).select("file_id", "extension", "full_content").filter("file_id IS NOT NULL")
