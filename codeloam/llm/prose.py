@@ -23,8 +23,7 @@ def read_all(path, mode="rb"): for (int i = 0; i < size; i++) { x[i] = fn(y[i],
 const getUserName = async (ctx, userId) => await db.query(id); type T struct { m map[string]int } #include <stdio.h>
 select id, user_id from order_items where price > 10 order by 3 limit 5; insert into t (a, b) values (1, 2); update t set a = 4
 https://host.example/a/b?c=d&e=5 0x1f3c9a7be2 a8f5f167f44f4964e6c998dee827110c qk3J/x+9Zt== ^[a-z0-9_]+\\.(js|py)$ %s: %d {} ${name}
-utf-8 v1.2.3-rc.4 en_us text/html; charset=x node_modules/pkg/index.js key: value, foo.bar.baz(qux) user-agent max_len min_val tmp_dir
-kernel_pump = gauge_socket(18) valve_orbit.push(frame_id, 4711) lockerTrie.forEach((it) => emptyBatch(33)) try: pass except KeyError: raise""",
+utf-8 v1.2.3-rc.4 en_us text/html; charset=x node_modules/pkg/index.js key: value, foo.bar.baz(qux) user-agent max_len min_val tmp_dir""",
     "en": """This module reads the settings and writes them back when they have changed. The caller must hold the lock before it is called.
 We keep the old value because some clients still depend on it, although it will be removed in the next release. If there is no entry for the given name,
 an empty list is returned and a warning is shown. Each of these rows has been checked by hand, so that nothing is lost while the server restarts.
@@ -98,11 +97,11 @@ SWITCH, CHANGE = -6.0, -24.0
 EVEN = 0.3
 #: Segments labelled at once: their number and the characters of all.
 ROWS, CELLS = 4096, 400_000
+#: Characters of a block; longer texts are labelled in blocks side by side, with the same result.
+SPAN = 4096
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n|\n(?=[ \t]*(?:[@:]\w|[-*•]\s))")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _QUERY = re.compile(r"\s*(?:select\b.*\bfrom|insert\s+into|update\b.*\bset|delete\s+from|create\s+(?:table|index|view)|alter\s+table|drop\s+table|with\b.*\bas\s*\()\b", re.I | re.S)
-#: Pieces of very long comments and literals, so that many are labelled side by side.
-_PIECE = re.compile(r"(?s).{1,4000}(?=[\s.])|.{1,4000}")
 _TAG = re.compile(r"^[ \t]*[@:\\][A-Za-z].*$", re.M)
 
 
@@ -155,43 +154,66 @@ def emissions() -> np.ndarray:
     return out
 
 
-def viterbi(texts: list[str]) -> list[np.ndarray]:
-    """The state of each character of each text; a text begins and ends in code.
+def _context(grid: np.ndarray) -> np.ndarray:
+    return (grid[:-2] * WIDTH + grid[1:-1]) * WIDTH + grid[2:]
 
-    Between comments and literals the state is code for certain, so the best path through
-    a whole file is made of the best paths through its comments and literals.
-    """
-    table = emissions()
-    n = len(texts)
-    encoded = [symbols(t) for t in texts]
-    longest = max(map(len, encoded), default=0)
-    grid = np.zeros((longest + 2, n), np.int64)
-    grid[:2] = SYMBOLS[" "]
-    for k, s in enumerate(encoded):
-        grid[2 : 2 + len(s), k] = s
-    trigram = (grid[:-2] * WIDTH + grid[1:-1]) * WIDTH + grid[2:]
-    score = np.full((len(STATES), n), SWITCH, np.float32)
-    score[0] = 0
+
+def _step(score: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best language of each column, and what the best ways into code and into a language are worth; last where the latter comes from."""
+    top = score[1:].argmax(0) + 1
+    high, code = score[top, columns], score[0]
+    by_code, by_language = code + np.float32(SWITCH), high + np.float32(CHANGE)
+    return top, high + np.float32(SWITCH), np.maximum(by_code, by_language), np.where(by_code >= by_language, 0, top)
+
+
+def _filled(blocks: list[np.ndarray], before: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of blocks side by side, [place, block], and the sizes of the blocks."""
+    sizes = np.array([len(b) for b in blocks])
+    grid = np.zeros((int(sizes.max(initial=0)) + 2, len(blocks)), np.int64)
+    for k, b in enumerate(blocks):
+        grid[:2, k] = before[k]
+        grid[2 : 2 + len(b), k] = b
+    return _context(grid), sizes
+
+
+def _transfer(blocks: list[np.ndarray], before: list[tuple[int, int]]) -> np.ndarray:
+    """[block, state before, last state]: the score of the best path through each block between two states."""
+    table, n = emissions(), len(STATES)
+    trigram, sizes = _filled(blocks, before)
+    score = np.full((n, len(blocks), n), -np.inf, np.float32)  # [last state, block, state before]
+    score[np.arange(n), :, np.arange(n)] = 0
+    score = score.reshape(n, -1)
+    columns, out = np.arange(score.shape[1]), np.empty((len(blocks), n, n), np.float32)
+    for t in range(len(trigram)):
+        _, into_code, into_language, _ = _step(score, columns)
+        score = np.concatenate([np.maximum(score[0], into_code)[None], np.maximum(score[1:], into_language)]) + np.repeat(table[:, trigram[t]], n, axis=1)
+        for k in np.flatnonzero(sizes == t + 1):
+            out[k] = score.reshape(n, -1, n)[:, k].T
+    return out
+
+
+def _paths(blocks: list[np.ndarray], before: list[tuple[int, int]], entered: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    """The best path through each block from the state ``entered`` to the state ``left``; -1 leaves it open, and code follows."""
+    table, n = emissions(), len(blocks)
+    trigram, sizes = _filled(blocks, before)
+    longest = len(trigram)
+    score = np.full((len(STATES), n), -np.inf, np.float32)
+    columns = np.arange(n)
+    score[entered, columns] = 0
     moved = np.zeros((longest, len(STATES), n), bool)
     best = np.zeros((longest, 2, n), np.int8)
     ended = np.zeros((len(STATES), n), np.float32)
-    sizes = np.array([len(s) for s in encoded])
-    columns = np.arange(n)
     for t in range(longest):
-        top = score[1:].argmax(0) + 1  # the best language; it or code is what a state is entered from
-        high = score[top, columns]
-        code = score[0]
-        into_code, into_language = high + np.float32(SWITCH), np.maximum(code + np.float32(SWITCH), high + np.float32(CHANGE))
-        best[t, 0] = top
-        best[t, 1] = np.where(code + np.float32(SWITCH) >= high + np.float32(CHANGE), 0, top)
-        moved[t, 0] = code < into_code
+        top, into_code, into_language, source = _step(score, columns)
+        best[t, 0], best[t, 1] = top, source
+        moved[t, 0] = score[0] < into_code
         moved[t, 1:] = score[1:] < into_language
-        score = np.concatenate([np.maximum(code, into_code)[None], np.maximum(score[1:], into_language)]) + table[:, trigram[t]]
+        score = np.concatenate([np.maximum(score[0], into_code)[None], np.maximum(score[1:], into_language)]) + table[:, trigram[t]]
         here = sizes == t + 1
         if here.any():
             ended[:, here] = score[:, here]
     ended[1:] += np.float32(SWITCH)
-    state = ended.argmax(0)
+    state = np.where(left < 0, ended.argmax(0), left)
     path = np.zeros((longest, n), np.int8)
     for t in range(longest - 1, -1, -1):
         active = sizes > t
@@ -201,6 +223,50 @@ def viterbi(texts: list[str]) -> list[np.ndarray]:
     return [path[: sizes[k], k] for k in range(n)]
 
 
+def viterbi(texts: list[str]) -> list[np.ndarray]:
+    """The state of each character of each text; a text begins and ends in code.
+
+    Outside comments and literals a span's state can only be code, so the best path through
+    a whole file is made of the best paths through its comments and literals. The path
+    through a text of more than SPAN characters is put together from blocks: the best score
+    of each block between any two states is found for many at once, the best states at the
+    borders follow from these, and then the paths inside.
+    """
+    space = SYMBOLS[" "]
+    encoded = [symbols(t) for t in texts]
+    short = [k for k, s in enumerate(encoded) if len(s) <= SPAN]
+    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
+    for k, path in zip(short, _paths([encoded[k] for k in short], [(space, space)] * len(short), np.zeros(len(short), np.int64), np.full(len(short), -1))):
+        out[k] = path
+    for k, s in enumerate(encoded):
+        if len(s) > SPAN:
+            out[k] = _long(s, space)
+    return out
+
+
+def _long(s: np.ndarray, space: int) -> np.ndarray:
+    blocks = [s[a : a + SPAN] for a in range(0, len(s), SPAN)]
+    before = [(space, space), *((int(s[a - 2]), int(s[a - 1])) for a in range(SPAN, len(s), SPAN))]
+    many = max(1, CELLS // SPAN)
+    scores = np.concatenate([_transfer(blocks[a : a + many], before[a : a + many]) for a in range(0, len(blocks), many)])
+    reached, came = scores[0, 0].astype(np.float64), []
+    for block in scores[1:].astype(np.float64):
+        ways = reached[:, None] + block
+        came.append(ways.argmax(0))
+        reached = ways.max(0)
+    reached[1:] += SWITCH
+    states = [int(reached.argmax())]
+    for where in reversed(came):
+        states.append(int(where[states[-1]]))
+    states.append(0)
+    states = np.array(states[::-1])
+    paths: list[np.ndarray] = []
+    for a in range(0, len(blocks), many):
+        b = min(a + many, len(blocks))
+        paths += _paths(blocks[a:b], before[a:b], states[a:b], states[a + 1 : b + 1])
+    return np.concatenate(paths)
+
+
 def prose_candidates(text: str, extension: str, least: int) -> list[str]:
     """Texts of the comments and literals that could hold a sentence of ``least`` words."""
     found = segments(text, extension)
@@ -209,7 +275,7 @@ def prose_candidates(text: str, extension: str, least: int) -> list[str]:
         out.append(comment_text("\n".join(text[s:e] for s, e in block)))
     out.extend(string_text(text[s:e]) for kind, s, e in found if kind == "s" and e - s > 2 * least)
     keep = []
-    for t in [x for t in out for x in (_PIECE.findall(t) if len(t) > 5000 else (t,))]:
+    for t in out:
         if t.count(" ") + t.count("\n") >= least - 1:
             t = _TAG.sub("", t)
             if not _QUERY.match(t) and len(_WORD.findall(t)) >= least:
