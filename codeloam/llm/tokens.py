@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHED_WORDS = 200_000
 
 
+def read(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 class Encoder:
     """Ids of a text under a byte-level BPE whose ids are its merge order.
 
@@ -30,9 +37,8 @@ class Encoder:
     with the last token of the prefix before it is stored, and back-pointers give the ids.
     """
 
-    def __init__(self, path: str = VOCABULARY) -> None:
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+    def __init__(self, vocabulary: bytes | None = None) -> None:
+        model = json.loads(vocabulary or read(VOCABULARY))["model"]
         ids: dict[str, int] = model["vocab"]
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(kept)]
@@ -82,6 +88,8 @@ class Encoder:
             start = end + 1 - length
             if last[end + 1] < 0 and (start == 0 or last[start] >= 0 and self.compatible(last[start], token)):
                 last[end + 1], back[end + 1] = token, start
+        if n and last[n] < 0:
+            raise ValueError(f"the vocabulary has no tokens for {word!r}")
         out, at = [], n
         while at:
             out.append(last[at])
@@ -103,16 +111,22 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(shared: Broadcast) -> Encoder:
+    return Encoder(shared.value)
+
+
 def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) for each row; no special tokens, whose strings are ordinary text.
 
     NULL and empty texts give the empty list. Repeated rows stay repeated. Extra columns
-    are ignored. White space is text.
+    are ignored. White space is text. The driver reads the vocabulary and ships it to the workers.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(read(vocabulary))
     rows = spread(documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
