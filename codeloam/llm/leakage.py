@@ -15,6 +15,8 @@ from .common import RollingHash, code_points, spread
 _WORD = re.compile(r"[^\W_]+")
 #: Characters hashed at once, and characters of held-out text indexed at once.
 CHUNK, BLOCK = 1 << 20, 4_000_000
+#: q-gram matches grouped at once, and passages aligned at once.
+HITS, ALIGNED = 4_000_000, 4096
 
 
 def words(text: str) -> list[str]:
@@ -22,20 +24,36 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Edit distance of two code-point arrays if it is at most ``band``, else ``band`` + 1."""
-    if abs(len(a) - len(b)) > band:
-        return band + 1
-    if band == 0:
-        return int(not np.array_equal(a, b))
-    far = band + 1
-    row = {j: j for j in range(min(band, len(b)) + 1)}
-    for i in range(1, len(a) + 1):
-        new = {}
-        for j in range(max(0, i - band), min(len(b), i + band) + 1):
-            new[j] = i if j == 0 else min(row.get(j - 1, far) + (a[i - 1] != b[j - 1]), row.get(j, far) + 1, new.get(j - 1, far) + 1)
-        row = new
-    return min(row.get(len(b), far), far)
+def banded_distances(passages: list[np.ndarray], regions: list[np.ndarray], band: int) -> np.ndarray:
+    """Least edit distance of each passage to any stretch of its region, all aligned side by side.
+
+    The stretch may begin anywhere in the first ``band`` + 1 places of the region, and its
+    alignment keeps to the ``band`` + 1 diagonals that begin there. Past a region's end nothing matches.
+    """
+    sizes = np.array([len(p) for p in passages], np.int64)
+    out = np.zeros(len(passages), np.int64)
+    if not len(passages):
+        return out
+    longest = int(sizes.max())
+    p = np.full((len(passages), longest), 0xFFFFFFFF, np.uint32)
+    r = np.full((len(passages), longest + band), 0xFFFFFFFE, np.uint32)
+    inside = np.zeros((len(passages), longest + band + 1), np.int32)
+    for k, (x, y) in enumerate(zip(passages, regions)):
+        p[k, : len(x)] = x
+        y = y[: longest + band]
+        r[k, : len(y)] = y
+        inside[k, len(y) + 1 :] = 1 << 20  # behind the region's end
+    diagonals = np.arange(band + 1, dtype=np.int32)
+    row = inside[:, : band + 1].copy()
+    for i in range(longest):
+        new = row + (p[:, i, None] != r[:, i : i + band + 1])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        new = np.minimum.accumulate(new - diagonals, axis=1) + diagonals
+        row = np.maximum(new, inside[:, i + 1 : i + band + 2])
+        done = sizes == i + 1
+        if done.any():
+            out[done] = row[done].min(axis=1)
+    return out
 
 
 class PassageIndex:
@@ -49,21 +67,23 @@ class PassageIndex:
     def __init__(self, items: list[tuple[int, str]], run: int = 12, edits: int = 0) -> None:
         self.run, self.edits = run, edits
         self.hash = RollingHash()
-        self.items: list[tuple[int, np.ndarray, list[tuple[int, int]]]] = []
+        self.items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for item, text in items:
             w = words(text or "")
             if len(w) >= run:
                 ends = np.cumsum([0, *(len(x) + 1 for x in w)])
-                passages = [(int(ends[i]), int(ends[i + run]) + 1) for i in range(len(w) - run + 1)]
-                self.items.append((item, code_points(" " + " ".join(w) + " "), passages))
-        shortest = min((e - s for _, _, ps in self.items for s, e in ps), default=2 * run + 1)
+                n = len(w) - run + 1
+                self.items.append((item, code_points(" " + " ".join(w) + " "), ends[:n], ends[run:] + 1))
+        shortest = min((int((e - s).min()) for _, _, s, e in self.items), default=2 * run + 1)
         self.q = max(4, min(2 * run, shortest // (edits + 2)) if edits else min(2 * run, shortest))
-        #: The lemma's bound for the shortest passage of all; each item has its own below.
-        self.least = [max(1, min(e - s for s, e in ps) - self.q + 1 - edits * self.q) for _, _, ps in self.items]
+        #: The lemma's bound for each passage of an item, the least of them for each item, and that of all.
+        self.bounds = [np.maximum(1, e - s - self.q + 1 - edits * self.q) for _, _, s, e in self.items]
+        self.least = np.array([b.min() for b in self.bounds], np.int64)
         self.span = max(1, shortest - self.q + 1)
         self.bound = max(1, self.span - edits * self.q)
+        self.longest = max((len(p) for _, p, _, _ in self.items), default=0)
         grams, owner, place = [], [], []
-        for k, (_, points, _) in enumerate(self.items):
+        for k, (_, points, _, _) in enumerate(self.items):
             h = self.hash.windows(self.hash.prefix(points), self.q)
             grams.append(h)
             owner.append(np.full(len(h), k, np.int64))
@@ -90,76 +110,87 @@ class PassageIndex:
         hit[hit] = self.grams[left[hit]] == h[at[hit]]
         at, left = at[hit], left[hit]
         # Regions that hold enough q-grams of any item at all.
-        present = np.zeros(len(h) + self.span + 1, np.int32)
+        span = self.span + self.edits
+        present = np.zeros(len(h) + span + 1, np.int32)
         present[at] = 1
         total = np.concatenate([[0], np.cumsum(present)])
-        dense = total[self.span :] - total[: -self.span] >= self.bound
+        dense = total[span:] - total[:-span] >= self.bound
         reach = np.zeros(len(present) + 1, np.int32)
         opens = np.flatnonzero(dense)
         np.add.at(reach, opens, 1)
-        np.add.at(reach, np.minimum(opens + self.span, len(present)), -1)
+        np.add.at(reach, np.minimum(opens + span, len(present)), -1)
         inside = np.cumsum(reach)[at] > 0
         at, left = at[inside], left[inside]
         if not len(at):
             return
-        right = np.searchsorted(self.grams, h[at], side="right")
-        n = right - left
-        # In pieces, so that texts made of one phrase need no more memory than others.
-        cut = np.searchsorted(np.cumsum(n), np.arange(4_000_000, int(n.sum()), 4_000_000))
-        bands: dict[tuple[int, int, int], list[int]] = {}
-        width = self.edits + 1
-        for a, l, m in zip(*(np.split(x, cut) for x in (at, left, n))):
-            where = np.repeat(a, m)
-            entry = np.repeat(l - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
-            owner, place = self.owner[entry], self.place[entry]
-            doc = np.searchsorted(starts, where, side="right") - 1
-            diagonal = where - place
-            for shift in (0, 1) if self.edits else (0,):  # overlapping bands, two diagonals wide per edit
-                band = diagonal // width + (0 if not shift else -1) if self.edits else diagonal
-                key = np.stack([doc, owner, band])
-                order = np.lexsort(key[::-1])
-                key = key[:, order]
-                new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-                size = np.diff(np.append(new, key.shape[1]))
-                low, high = np.minimum.reduceat(place[order], new), np.maximum.reduceat(place[order], new)
-                for j in range(len(new)):
-                    k = (int(key[0, new[j]]), int(key[1, new[j]]), int(key[2, new[j]]))
-                    old = bands.get(k)
-                    if old:
-                        old[:] = old[0] + int(size[j]), min(old[1], int(low[j])), max(old[2], int(high[j]))
-                    else:
-                        bands[k] = [int(size[j]), int(low[j]), int(high[j])]
+        n = np.searchsorted(self.grams, h[at], side="right") - left
+        upto = np.cumsum(n)
         found: set[tuple[int, int]] = set()
-        for (doc, k, band), (size, low, high) in bands.items():
-            item, source, passages = self.items[k]
-            if size < self.least[k] or (doc, item) in found:
-                continue
-            diagonal = (band + 1) * width if self.edits else band
-            reach = 2 * self.edits
-            for s, e in passages:
-                if e <= low or s >= high + self.q:
-                    continue
-                a = max(int(starts[doc]), s + diagonal - reach)
-                b = min(int(starts[doc + 1]) - 1, e + diagonal + reach)
-                if self._aligned(points[a:b], source[s:e]):
-                    found.add((doc, item))
-                    break
+        i = 0
+        while True:  # in pieces that overlap by the longest item, so that texts made of one phrase need no more memory than others
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS)))
+            last = int(np.searchsorted(at, at[min(j, len(at)) - 1] + self.longest + 4 * self.edits + 4))
+            self._search(points, starts, at[i:last], left[i:last], n[i:last], found)
+            if j >= len(at):
+                break
+            i = j
         yield from found
 
-    def _aligned(self, region: np.ndarray, passage: np.ndarray) -> bool:
-        if not self.edits:
-            return banded_distance(region, passage, 0) == 0
-        slack = range(max(0, len(region) - len(passage)) + 1)
-        return any(
-            banded_distance(region[i : i + len(passage) + d], passage, self.edits) <= self.edits
-            for i in slack
-            for d in range(-self.edits, self.edits + 1)
-        )
+    def _search(self, points, starts, at, left, n, found: set[tuple[int, int]]) -> None:
+        """Adds the pairs that the q-grams at ``at`` lead to."""
+        entry = np.repeat(left - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        owner, place = self.owner[entry], self.place[entry]
+        width = self.edits + 1
+        band = (np.repeat(at, n) - place) // width
+        lowest = int(band.min()) - 1
+        many = int(band.max()) - lowest + 1
+        # Item, band and place in one number, so that one sort brings each band's places together.
+        key = (owner * many + (band - lowest)) * self.longest + place
+        if self.edits:  # bands of two widths, each overlapping the next by half
+            key = np.concatenate([key, key - self.longest])
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        group, place = np.divmod(key, self.longest)
+        new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(new, len(group)))
+        enough = size >= self.least[group[new] // many]
+        likely: list[tuple[int, int, int, int, int]] = []
+        others: list[tuple[int, int, int, int, int]] = []
+        for first, count in zip(new[enough].tolist(), size[enough].tolist()):
+            k, b = divmod(int(group[first]), many)
+            places = place[first : first + count]
+            _, _, s, e = self.items[k]
+            spare = np.searchsorted(places, e - self.q, side="right") - np.searchsorted(places, s) - self.bounds[k]
+            kept = np.flatnonzero(spare >= 0)
+            if len(kept):
+                diagonal, best = (b + lowest) * width, int(kept[spare[kept].argmax()])
+                docs = np.searchsorted(starts, (s[kept] + e[kept]) // 2 + diagonal, side="right") - 1
+                for i, d in zip(kept.tolist(), docs.tolist()):
+                    (likely if i == best else others).append((d, k, diagonal, int(s[i]), int(e[i])))
+        self._verify(points, starts, likely, found)
+        self._verify(points, starts, others, found)
+
+    def _verify(self, points, starts, candidates: list[tuple[int, int, int, int, int]], found: set[tuple[int, int]]) -> None:
+        """Adds the pairs of which a passage aligns within the edit budget, in bands of diagonals from the one given."""
+        reach = 2 * self.edits + 1 if self.edits else 0
+        for at in range(0, len(candidates), ALIGNED):
+            part = [c for c in candidates[at : at + ALIGNED] if (c[0], self.items[c[1]][0]) not in found and 0 <= c[0] < len(starts) - 1]
+            passages = [self.items[k][1][s:e] for _, k, _, s, e in part]
+            regions = []
+            for d, _, diagonal, s, e in part:
+                a, b = s + diagonal, min(int(starts[d + 1]) - 1, e + diagonal + reach)
+                before = max(0, int(starts[d]) - a)
+                regions.append(np.concatenate([np.full(before, 0xFFFFFFFE, np.uint32), points[a + before : max(a + before, b)]]))
+            near = banded_distances(passages, regions, reach) <= self.edits
+            found.update((c[0], self.items[c[1]][0]) for c, ok in zip(part, near) if ok)
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, run: int = 12, edits: int = 0) -> DataFrame:
     """(doc_id, item_id) of the documents that hold a passage of ``run`` words of an item.
 
+    A passage may differ from the item's by ``edits`` characters put in, left out or replaced,
+    once both are brought to words in lower case between single spaces.
+
     ``items`` is a held-out set, sent to the executors in blocks of at most BLOCK
     characters, each against all documents. NULL, empty or shorter texts hold nothing;
     repeated rows count once; other columns are ignored.
