@@ -32,6 +32,10 @@ def p2_classes(spark: SparkSession, directory: str) -> DataFrame:
     return spans.SharedSpans(table(spark, directory, "detailed_files")).linked_classes()
 
 
+def p2_groups(spark: SparkSession, directory: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, directory, "detailed_files")).span_groups()
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return credentials.find_credentials(table(spark, directory, "detailed_files"))
 
@@ -68,6 +72,10 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return split.split_oversized(code_records(table(spark, directory, "detailed_files")))
 
 
+def p7_bisected(spark: SparkSession, directory: str) -> DataFrame:
+    return split.bisect_oversized(code_records(table(spark, directory, "detailed_files")))
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, directory, "documents"))
 
@@ -76,6 +84,10 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def p9_edited(spark: SparkSession, directory: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"), edits=2)
+
+
 def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue.find_residue(table(spark, directory, "documents")).select("doc_id")
 
@@ -88,4 +100,4 @@ def p10_kept(spark: SparkSession, directory: str) -> DataFrame:
     return residue.without_residue(table(spark, directory, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared, p2_classes, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p8_ids, p9_found, p10_found, p10_kinds, p10_kept)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared, p2_classes, p2_groups, p3_found, p3_masked, p4_found, p4_pairs, p5_found, p5_shares, p6_found, p6_rates, p7_found, p7_bisected, p8_ids, p9_found, p9_edited, p10_found, p10_kinds, p10_kept)}

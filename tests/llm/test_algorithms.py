@@ -39,6 +39,25 @@ def test_cuts_follow_the_rule(text):
     assert list(split.cuts(text, 40, 5)) == brute_cuts(text, 40, 5)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=400))
+def test_bisection_keeps_its_limits(text):
+    pieces = list(split.bisected(text, 40, 5))
+    if len(text) <= 40:
+        assert pieces == []
+        return
+    cores = [(s + 5 if s else 0, e) for s, e in pieces]
+    assert cores[0][0] == 0 and cores[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(cores, cores[1:]))
+    assert all(0 < e - s <= 40 and b - a <= 35 for (s, e), (a, b) in zip(pieces, cores))
+
+
+def test_bisection_takes_the_strongest_boundary_near_the_midpoint():
+    assert split.cut_near("a" * 50 + "\n" + "b" * 10 + "\n\n" + "c" * 37, 0, 100) == 63
+    assert split.cut_near("a" * 48 + "\n" + "b" * 10 + "\n" + "c" * 40, 0, 100) == 49
+    assert split.cut_near("a" * 10 + " " + "b" * 89, 0, 100) == 50
+    assert list(split.bisected("x" * 10_000)) == [(0, 2500), (2300, 5000), (4800, 7500), (7300, 10_000)]
+
+
 def test_sliding_minimum():
     r = np.random.default_rng(1)
     a = r.integers(0, 1000, 500).astype(np.uint64)
@@ -92,29 +111,58 @@ def test_leaks_against_word_shingles(edits):
     assert set(leakage.PassageIndex(items).find(texts)) == expected and expected
 
 
-def test_leaks_with_an_edit_budget():
-    source = " ".join(f"word{k}x" for k in range(20))
-    index = leakage.PassageIndex([(1, source)], run=12, edits=2)
-    assert set(index.find([source.replace("word5x", "wrd5x"), "nothing of the kind " * 10])) == {(0, 1)}
+def within(passage, text):
+    """The least edit distance of a passage to any stretch of a text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(passage, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
 
 
-def test_banded_distance():
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_leaks_with_an_edit_budget(edits):
+    r = random.Random(6)
+    vocabulary = "abacus cello degree ferry granite harbour insect jungle kettle lantern".split(" ")
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(16))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        w = leakage.words(r.choice(items)[1])
+        k = r.randint(0, 4)
+        piece = list(" ".join(w[k : k + r.choice((11, 12, 13))]))
+        for _ in range(r.randint(0, edits + 2)):
+            at, kind = r.randrange(len(piece)), r.random()
+            piece[at : at + 1] = ["q"] if kind < 0.4 else [] if kind < 0.7 else ["q", piece[at]]
+        texts.append(" ".join([*(r.choice(vocabulary) for _ in range(r.randint(0, 5))), "".join(piece), *(r.choice(vocabulary) for _ in range(r.randint(0, 5)))]))
+    padded = [" " + " ".join(leakage.words(t)) + " " for t in texts]
+    passages = {i: [" " + " ".join(w[k : k + 12]) + " " for w in [leakage.words(t)] for k in range(len(w) - 11)] for i, t in items}
+    expected = {(n, i) for n, t in enumerate(padded) for i, ps in passages.items() if any(within(p, t) <= edits for p in ps)}
+    assert set(leakage.PassageIndex(items, 12, edits).find(texts)) == expected and len(expected) > 20
+
+
+def test_pieces_of_many_matches_give_the_same(monkeypatch):
+    items = [(i, " ".join(f"w{(i + k) % 7}" for k in range(20))) for i in range(5)]
+    texts = [" ".join(f"W{(n + k) % 7}" for k in range(40)) for n in range(30)] + ["none of it"]
+    expected = {e: set(leakage.PassageIndex(items, 12, e).find(texts)) for e in (0, 2)}
+    monkeypatch.setattr(leakage, "HITS", 50)
+    assert all(set(leakage.PassageIndex(items, 12, e).find(texts)) == x and len(x) == 150 for e, x in expected.items())
+
+
+def test_banded_distances():
     r = random.Random(5)
-
-    def full(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
-            row = new
-        return row[-1]
-
-    for _ in range(200):
-        a, b = (np.array([r.randint(0, 3) for _ in range(r.randint(0, 9))]) for _ in range(2))
-        for band in (0, 1, 2, 3):
-            d = leakage.banded_distance(a, b, band)
-            assert d == full(a, b) if full(a, b) <= band else d == band + 1
+    for band in (0, 1, 3, 5):
+        pairs = [(np.array([r.randint(0, 3) for _ in range(r.randint(1, 9))], np.uint32), np.array([r.randint(0, 3) for _ in range(r.randint(0, 14))], np.uint32)) for _ in range(200)]
+        found = leakage.banded_distances([p for p, _ in pairs], [t for _, t in pairs], band)
+        for (p, t), d in zip(pairs, found):
+            row = {j: 0 for j in range(band + 1) if j <= len(t)}  # cells within the band alone
+            for i in range(1, len(p) + 1):
+                new = {}
+                for j in range(i, min(len(t), i + band) + 1):
+                    new[j] = min(row.get(j - 1, 999) + (p[i - 1] != t[j - 1]), row.get(j, 999) + 1, new.get(j - 1, 999) + 1)
+                row = new
+            assert (d > 100 and not row) or d == min(row.values(), default=999) or (d > 100 and min(row.values()) > 100)
 
 
 VALID = {
@@ -242,6 +290,86 @@ def test_documentation_pairs():
     assert code == "export const a = async (x) => {\n  return 1;\n}"
 
 
+@pytest.mark.parametrize(
+    "extension,text,expected",
+    [
+        (".py", 'class A:\n    def f(\n        self,\n    ):\n        """One two three four five."""\n        x = call(\n    1)\n        # note\n        return """\ntext\n"""\n\n    y = 1\n', 'def f(\n        self,\n    ):\n        """One two three four five."""\n        x = call(\n    1)\n        # note\n        return """\ntext\n"""'),
+        (".js", "// One two three four five.\nfunction f(a) {\n  return '}' + {b: [1]}.b;\n}\nf();\n", "function f(a) {\n  return '}' + {b: [1]}.b;\n}"),
+        (".ts", "/** One two three four five. */\nexport const f = (a: number): string => {\n  return `${a}`;\n};\n", "export const f = (a: number): string => {\n  return `${a}`;\n}"),
+        (".java", "class A {\n  /** One two three four five. */\n  int f(int a) {\n    if (a > 1) { return 2; }\n    return 1;\n  }\n  int g;\n}\n", "int f(int a) {\n    if (a > 1) { return 2; }\n    return 1;\n  }"),
+        (".go", "// One two three four five.\nfunc (s *S) F(a int) error {\n\treturn nil\n}\n\nvar x int\n", "func (s *S) F(a int) error {\n\treturn nil\n}"),
+        (".c", "/* One two three four five. */\nstatic int f(int a)\n{\n  char c = '}';\n  return a;\n}\nint x;\n", "static int f(int a)\n{\n  char c = '}';\n  return a;\n}"),
+        (".c", "/* One two three four five. */\nint f(int a) {\n  return (a;\n", "int f(int a) {\n  return (a;"),
+    ],
+)
+def test_code_of_pairs(extension, text, expected):
+    assert [x[2].strip() for x in docpairs.documented(text, extension)] == [expected]
+
+
+def test_unclosed_functions_take_time_in_proportion():
+    import time
+
+    for extension, one in ((".c", "/* One two three four five. */\nint f{}(int a) {{ x(\n"), (".py", 'def f{}(a):\n    """One two three four five."""\n    x(\n'), (".py", 'def f{}(a):\n    """One two three four five."""\n    return 1\n')):
+        took = []
+        for n in (2000, 8000):
+            text = "".join(one.format(k) for k in range(n))
+            began = time.process_time()
+            assert len(list(docpairs.documented(text, extension))) == n
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0]
+
+
+def restricted(pieces):
+    """The best path through code and spans laid end to end, where other states are allowed in spans alone; one dictionary a character."""
+    table, score, back = prose.emissions(), {0: 0.0}, []
+    for text, span in pieces:
+        s = np.concatenate([[prose.SYMBOLS[" "]] * 2, prose.symbols(text)]).astype(int)
+        for k in range(2, len(s)):
+            g = (s[k - 2] * prose.WIDTH + s[k - 1]) * prose.WIDTH + s[k]
+            cost = lambda a, b: 0 if a == b else prose.SWITCH if 0 in (a, b) else prose.CHANGE
+            new, came = {}, {}
+            for b in range(len(prose.STATES)) if span else (0,):
+                came[b] = max(score, key=lambda a: score[a] + cost(a, b))
+                new[b] = score[came[b]] + cost(came[b], b) + float(table[b, g])
+            score = new
+            back.append(came)
+    state = max(score, key=lambda a: score[a] + (prose.SWITCH if a else 0))
+    path = []
+    for came in reversed(back):
+        path.append(state)
+        state = came[state]
+    return path[::-1]
+
+
+def test_paths_of_spans_are_the_path_of_the_whole_file():
+    r = random.Random(9)
+    prose_of = [x for k in ("en", "de", "fr", "es", "pt") for x in prose.SEEDS[k].split(". ")]
+    for _ in range(6):
+        pieces = [p for _ in range(4) for p in (("x[i] = fn(y[i], 17);\n", False), (r.choice(prose_of)[:90] + r.choice(["", " a_b = c(1)", ". " + r.choice(prose_of)[:60]]), True))] + [("}\n", False)]
+        whole, at = restricted(pieces), 0
+        for text, span in pieces:
+            if span:
+                assert whole[at : at + len(text)] == prose.viterbi([text])[0].tolist()
+            else:
+                assert set(whole[at : at + len(text)]) == {0}
+            at += len(text)
+
+
+def test_long_texts_in_blocks_have_the_same_path(monkeypatch):
+    r = random.Random(10)
+    parts = [x for k in prose.STATES for x in prose.SEEDS[k].split(". ")]
+    texts = ["; ".join(r.choice(parts) for _ in range(n)) for n in (1, 2, 5, 12)] + ["", "x"]
+    whole = prose.viterbi(texts)
+    monkeypatch.setattr(prose, "SPAN", 37)
+    assert all((a == b).all() and len(a) == len(t) for a, b, t in zip(whole, prose.viterbi(texts), texts))
+
+
+def test_long_sentences_are_not_cut():
+    text = "/* " + "x = 1; " * 600 + "The caller waits until the other side has sent all rows. " + "y = 2; " * 600 + "*/"
+    (candidate,) = prose.prose_candidates(text, ".c", 6)
+    assert list(prose.languages(candidate, prose.viterbi([candidate])[0], 6)) == [1]
+
+
 def test_prose_languages():
     texts = ["The caller waits until the other side has sent all rows.", "Der Aufrufer wartet, bis die andere Seite alle Zeilen geschickt hat.", "L'appelant attend que l'autre côté ait envoyé toutes les lignes.", "Quien llama espera hasta que el otro lado haya enviado todas las filas.", "Quem chama espera até que o outro lado tenha enviado todas as linhas.", "x[i] = fn(y[i], 17); self.total_count += len(rows) * 2"]
     found = [[prose.STATES[k] for k in prose.languages(t, p, 6)] for t, p in zip(texts, prose.viterbi(texts))]
@@ -274,8 +402,21 @@ def test_notice_behind_a_long_head():
     assert generated.composition(licence + code + notice, ".js") is None
 
 
+def test_made_up_latin():
+    yes = ["Nocte ruris plurem vestra quodis calida imber tellus silvam vacat.", "Vivamus lectus magna fringilla urna porttitor rhoncus dolor purus.", "Sed posuere consectetur est at lobortis et magnis dis parturient montes.", "Curabitur blandit tempus porttitor nascetur ridiculus mus cras mattis.", "Lorem ipsum dolor sit amet."]
+    no = ["The parser renames the table after every nightly restart of the server.", "Der Dienst prüft die Tabelle nach jedem Neustart und meldet den Fehler.", "Le service relit la table après chaque redémarrage et prévient le client.", "El servicio lee la tabla después de cada reinicio y avisa al cliente.", "Entry point is main; it starts the importer and waits for the exporter."]
+    assert [t for t in yes if residue.residue(t) != "filler"] == [] and [t for t in no if residue.residue(t)] == []
+
+
+def test_residue_share_and_places():
+    text = "İ fine words stand here.\n\nPlease enable JavaScript to view this page.\n"
+    assert residue.residue_share(text) == ("scripts", pytest.approx(len("PleaseenableJavaScripttoviewthispage.") / len(text.replace(" ", "").replace("\n", ""))))
+    assert [text[s:e] for s, e, _ in residue.residue_spans(text)] == ["Please enable JavaScript to view this page."]
+    assert residue.residue_share("fine") is None and residue.residue("`x` " + "{{ name }}") == "placeholder"
+
+
 def test_residue():
-    yes = ["{{ user_name }} reads the table.", "Call `<INSERT NAME HERE>` first.", "blah blah blah blah blah blah", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "404 Not Found", "Oops! Something went wrong on our side. Try again in 5 minutes.", "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Text before.\n\nThis site needs JavaScript. Loading x…", "Accès refusé. Veuillez vous connecter."]
+    yes = ["See [[name:value]] for more.", "It takes %(count_of)s rows.", "XX_NAME_XX", "[escriba aquí la descripción]", "[Describe the change]", "{{ user_name }} reads the table.", "Call `<INSERT NAME HERE>` first.", "blah blah blah blah blah blah", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "404 Not Found", "Oops! Something went wrong on our side. Try again in 5 minutes.", "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Text before.\n\nThis site needs JavaScript. Loading x…", "Accès refusé. Veuillez vous connecter."]
     no = ["", "   ", "The template holds `{{ a.b }}`, and the renderer fills it.", "```\nhello ${a.b}\n```\nThe snippet shows a variable.", "We retry on 502 Bad Gateway up to 5 times before `f` gives up.", "`f` returns lorem ipsum paragraphs and is used only by the tests.", "Run the suite with JavaScript enabled, otherwise the test is skipped.", 'The message "Access denied" in `f` should name the role.']
     assert [t for t in yes if not residue.residue(t)] == []
     assert [t for t in no if residue.residue(t)] == []

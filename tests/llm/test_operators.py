@@ -50,7 +50,14 @@ def test_shared_spans_against_brute_force(spark):
         cover.append((i, len(t), len(marked)))
     assert rows(found.shared_characters()) == sorted(cover)
     pairs, members = rows(found.class_pairs()), {f: c for f, c, _ in found.membership().collect()}
-    assert {tuple(sorted((members[a], members[b]))) for a, b in expected if members[a] != members[b]} == set(pairs)
+    linked = {tuple(sorted((members[a], members[b]))) for a, b in expected if members[a] != members[b]}
+    assert linked == set(pairs)
+    degree = lambda c: sum(c in p for p in linked)
+    assert {(f, c, n) for f, c, _, n in found.linked_classes().collect()} == {(f, c, degree(c)) for f, c in members.items()}
+    groups = {}
+    for g, c, n in found.span_groups().collect():
+        groups.setdefault((g, n), set()).add(c)
+    assert all(len(cs) == n for (_, n), cs in groups.items()) and {tuple(sorted(p)) for cs in groups.values() for p in itertools.combinations(cs, 2)} == linked
 
 
 def test_hot_copies_are_one_class(spark):
@@ -75,6 +82,12 @@ def test_split_and_round_trip(spark):
     assert {f for f, *_ in pieces} == {1, 2}
 
 
+def test_bisection(spark):
+    text = "line of text\n" * 2000
+    data = [(1, "a", ".py", text), (1, "a", ".py", text), (2, "a", ".py", None), (3, "a", ".py", "short")]
+    assert rows(split.bisect_oversized(files(spark, data))) == [(1, *x) for x in split.bisected(text)]
+
+
 def test_token_ids(spark):
     data = [(1, "Hello  world"), (2, ""), (3, None), (4, " \n"), (1, "Hello  world"), (5, "long " * 20_000)]
     found = tokens.encode_corpus(texts(spark, data)).collect()
@@ -89,6 +102,8 @@ def test_leaks(spark):
     items = spark.createDataFrame([(7, item), (8, None), (9, "short"), (7, item)], "item_id long, text string")
     assert rows(leakage.find_leaks(texts(spark, data), items)) == [(1, 7)]
     assert rows(leakage.find_leaks(texts(spark, data), items.limit(0))) == []
+    edited = [(5, " ".join(f"w{k}" if k != 7 else "w" for k in range(3, 15))), *data]
+    assert rows(leakage.find_leaks(texts(spark, edited), items, edits=2)) == [(1, 7), (5, 7)]
 
 
 def test_leaks_in_blocks(spark, monkeypatch):
@@ -115,12 +130,18 @@ def test_vendored_copies_of_any_number(spark):
     edited = [(k, f"r/{k % 7}", ".py", "\n".join([*library[: k % 12], f"    edited_{k} = compute_something_else({k})", *library[k % 12 + 1 :]])) for k in range(2000, 3200)]
     assert generated.cross_repository(files(spark, equal)).count() == 1001
     assert generated.cross_repository(files(spark, edited)).count() == 1200
+    apart = [(k, f"r/{k}", ".py", "\n".join([*library[: k % 12], f"    edited_{k} = compute_something_else({k})", *library[k % 12 + 1 :]])) for k in range(1500)]
+    assert generated.cross_repository(files(spark, apart)).count() == 1500
+    # Common turns from many places are no copy of any.
+    pool = [f"    common_turn_{k} = settings.get_value('{k}')" for k in range(40)]
+    mixed = [(k, f"r/{k}", ".py", "\n".join(random.Random(k).sample(pool, 12))) for k in range(40)]
+    assert generated.cross_repository(files(spark, mixed)).count() <= 2
     turn = ["    if not found_anything: return None", "    for row in all_the_rows_given:"]
     own = [(k, f"r/{k % 7}", ".py", "\n".join(x for j in range(12) for x in (f"    own_{k}_{j} = call_number({j}, {k})", turn[j % 2]))) for k in range(4000, 5100)]
     assert rows(generated.cross_repository(files(spark, own))) == []
 
 
-@pytest.mark.parametrize("operator", [generated.not_handwritten, credentials.find_credentials, credentials.mask_credentials, docpairs.doc_lines, docpairs.doc_pairs, prose.file_languages, invalid.invalid_files, invalid.invalid_rates, split.split_oversized])
+@pytest.mark.parametrize("operator", [generated.not_handwritten, credentials.find_credentials, credentials.mask_credentials, docpairs.doc_lines, docpairs.doc_pairs, prose.file_languages, invalid.invalid_files, invalid.invalid_rates, split.split_oversized, split.bisect_oversized])
 def test_empty_and_null_tables(spark, operator):
     nothing = files(spark, [])
     assert operator(nothing).count() == 0
@@ -132,7 +153,7 @@ def test_empty_documents(spark):
     empty = texts(spark, [])
     assert tokens.encode_corpus(empty).count() == residue.find_residue(empty).count() == residue.without_residue(empty).count() == 0
     mixed = texts(spark, [(1, None), (2, ""), (3, "404 Not Found"), (3, "404 Not Found"), (4, "fine"), (None, "404 Not Found")])
-    assert rows(residue.find_residue(mixed)) == [(3, "error")]
+    assert rows(residue.find_residue(mixed)) == [(3, "error", 1.0)]
     assert rows(residue.without_residue(mixed)) == [(1,), (2,), (4,)]
     assert spans.SharedSpans(files(spark, []), 40).record_pairs().count() == 0
 
