@@ -6,7 +6,8 @@ import ast
 import warnings
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_rows
@@ -50,8 +51,11 @@ def decisions(node: ast.AST) -> tuple[int, int, int]:
 
 def function_rows(text: str | None) -> Iterator[tuple]:
     tree = parse(text)
-    if tree is None:
-        return
+    if tree is not None:
+        yield from functions_of(tree)
+
+
+def functions_of(tree: ast.AST) -> Iterator[tuple]:
     for n in ast.walk(tree):
         if isinstance(n, _FUNCTIONS):
             a, b, c = decisions(n)
@@ -132,44 +136,92 @@ def findings(files: DataFrame, threshold: int = 15) -> DataFrame:
     return map_rows(_python(files), lambda i, t: ((i, *r) for r in finding_rows(t, threshold)), "file_id long, line_no int, severity string, rule string, detail string").distinct()
 
 
+#: Least lines of a function that is no longer small, medium or large.
+SIZES = (21, 51, 101)
+SUMMARY = "functions int, complexity double, small int, medium int, large int, very_large int, size_lines long"
+
+
+def summary(text: str | None) -> tuple | None:
+    """What SUMMARY names, from one parse: sync functions and their mean complexity, and all functions by size; None if it is no Python."""
+    tree = parse(text)
+    if tree is None:
+        return None
+    rows = [*functions_of(tree)]
+    own, sizes = [r[3] for r in rows if not r[8]], [r[2] for r in rows]
+    kinds = [sum(low <= n < high for n in sizes) for low, high in zip((0, *SIZES), (*SIZES, 1 << 31))]
+    return (len(own), sum(own) / len(own) if own else 0.0, *kinds, sum(sizes))
+
+
+def _summary(texts: pd.Series) -> pd.DataFrame:
+    rows = [summary(t) if t is not None else None for t in texts]
+    return pd.DataFrame([r or (None,) * 7 for r in rows], columns=[c.split()[0] for c in SUMMARY.split(", ")]).astype({"complexity": "float64"} | {c.split()[0]: "Int64" for c in SUMMARY.split(", ") if "double" not in c})
+
+
+def syntax_summary() -> Column:
+    """The summary of a Python file as a struct, its fields NULL for other files and texts that don't parse."""
+    return F.pandas_udf(_summary, SUMMARY)(F.when(F.col("extension") == ".py", record_text()))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    total = lambda c: F.sum(F.coalesce(F.col(f"s.{c}"), F.lit(0)))
+    kinds = ("small", "medium", "large", "very_large")
+    sums = rows.groupBy("repository").agg(*(total(c).alias(c) for c in kinds), total("size_lines").alias("n"))
+    count = sum((F.col(c) for c in kinds[1:]), F.col(kinds[0]))
+    return sums.withColumn("functions", count).filter("functions > 0").select("repository", *kinds, "functions", (F.col("n") / F.col("functions")).alias("mean_lines"))
+
+
 def function_sizes(files: DataFrame) -> DataFrame:
     """(repository, small, medium, large, very_large, functions, mean_lines): up to 20, 50, 100 lines, and more."""
-    n = F.col("n_lines")
-    rows = functions(files).join(latest(files, "repository"), "file_id")
-    return rows.groupBy("repository").agg(F.count_if(n <= 20).alias("small"), F.count_if((n > 20) & (n <= 50)).alias("medium"), F.count_if((n > 50) & (n <= 100)).alias("large"), F.count_if(n > 100).alias("very_large"), F.count("*").alias("functions"), F.avg("n_lines").alias("mean_lines"))
+    return _sizes(latest(files.filter(F.col("extension") == ".py"), "repository", syntax_summary().alias("s")))
 
 
 def file_complexity(files: DataFrame) -> DataFrame:
     """(file_id, repository, functions, complexity): mean complexity of the sync functions of each Python file that parses; 0 without any."""
-
-    def row(file_id, text):
-        if parse(text) is None:
-            return []
-        own = [r[3] for r in function_rows(text) if not r[8]]
-        return [(file_id, len(own), sum(own) / len(own) if own else 0.0)]
-
-    rows = map_rows(_python(files), row, "file_id long, functions int, complexity double").distinct()
-    return rows.join(latest(files, "repository"), "file_id").select("file_id", "repository", "functions", "complexity")
+    rows = latest(files.filter(F.col("extension") == ".py"), "repository", syntax_summary().alias("s"))
+    return rows.filter("s.functions IS NOT NULL").select("file_id", "repository", "s.functions", "s.complexity")
 
 
 def quality(files: DataFrame) -> DataFrame:
-    """(repository, average_complexity, duplication_pct, large_functions, comment_pct, score, grade)."""
+    """(repository, average_complexity, duplicate_blocks, duplication_pct, large_functions, comment_pct, score, grade).
+
+    Texts are read and parsed once; what they give is written, so that the parts share it.
+    """
+    from ..sources.tables import written
     from . import duplicates
     from . import quality as q
 
-    complexity = file_complexity(files).groupBy("repository").agg(F.avg("complexity").alias("average_complexity"))
-    sizes = function_sizes(files).select("repository", (F.col("large") + F.col("very_large")).alias("large_functions"))
-    comments = q.comment_ratios(files).groupBy("repository").agg(F.avg("comment_pct").alias("comment_pct"))
-    copies = duplicates.duplication(files).select("repository", "duplication_pct")
-    metrics = copies.join(complexity, "repository", "left").join(sizes, "repository", "left").join(comments, "repository", "left")
-    return q.quality_score(metrics).select("repository", "average_complexity", "duplication_pct", "large_functions", "comment_pct", "score", "grade")
+    text, e = record_text(), F.col("extension")
+    commented = e.isin(*q.COMMENTED)
+    rows = written(latest(files, "repository", "path", "lines", syntax_summary().alias("s"), F.when(commented, q.comment_lines(text, e)).alias("c"), F.when(commented, q.filled_lines(text)).alias("n"), duplicates.block_column().alias("blocks")))
+    share = F.when(F.col("n") > F.col("c"), F.col("c") * 100.0 / F.col("n")).when(F.col("n").isNotNull(), 0.0)
+    files_of = rows.groupBy("repository").agg(F.avg("s.complexity").alias("average_complexity"), F.avg(share).alias("comment_pct"), F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"))
+    copies = duplicates.duplication_of(files_of.select("repository", "total_lines"), duplicates.exploded_blocks(rows)).select("repository", "duplicate_blocks", "duplication_pct")
+    sizes = _sizes(rows).select("repository", (F.col("large") + F.col("very_large")).alias("large_functions"))
+    metrics = copies.join(files_of, "repository").join(sizes, "repository", "left")
+    return q.quality_score(metrics).select("repository", "average_complexity", "duplicate_blocks", "duplication_pct", "large_functions", "comment_pct", "score", "grade")
+
+
+#: The kind of each rule, as far as the effort of mending it depends on it, and the items of each phase.
+KINDS = {"comprehension": "optimization", "list_from_iterator": "memory", "whole_file_read": "memory"}
+PHASES = (5, 5, 3)
+
 
+def roadmap(files: DataFrame) -> DataFrame:
+    """(repository, phase, rank, file_id, line_no, severity, rule, effort, impact): what to mend in which phase.
 
-def roadmap(files: DataFrame, most: int = 5) -> DataFrame:
-    """(repository, file_id, line_no, severity, rule, rank): the findings of each repository to mend first."""
+    Phase 1 takes low effort with an impact above low, phase 2 high impact, phase 3 architecture;
+    the first items by severity, file and line. By these formulas phases 1 and 3 stay empty.
+    """
     from pyspark.sql import Window
 
-    weight = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
-    rows = findings(files).join(latest(files, "repository"), "file_id")
-    rank = F.row_number().over(Window.partitionBy("repository").orderBy(weight, "file_id", "line_no", "rule", "detail"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= most).select("repository", "file_id", "line_no", "severity", "rule", "rank")
+    severity = F.col("severity")
+    weight = F.when(severity == "critical", 0).when(severity == "high", 1).when(severity == "medium", 2).otherwise(3)
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for item in KINDS.items() for x in item)), F.col("rule")), F.lit("other"))
+    effort = F.when(kind.isin("optimization", "memory") & (severity == "low"), "low").when((kind == "architecture") | (severity == "critical"), "high").otherwise("medium")
+    impact = F.when(severity.isin("critical", "high"), "high").when(severity == "medium", "medium").otherwise("low")
+    rows = findings(files).join(latest(files, "repository"), "file_id").select("*", kind.alias("kind"), effort.alias("effort"), impact.alias("impact"))
+    phase = F.when((F.col("effort") == "low") & (F.col("impact") != "low"), 1).when(F.col("impact") == "high", 2).when(F.col("kind") == "architecture", 3)
+    rank = F.row_number().over(Window.partitionBy("repository", "phase").orderBy(weight, "file_id", "line_no", "rule", "detail"))
+    most = F.element_at(F.array(*(F.lit(n) for n in PHASES)), F.col("phase"))
+    kept = rows.withColumn("phase", phase).filter("phase IS NOT NULL").withColumn("rank", rank).filter(F.col("rank") <= max(PHASES)).filter(F.col("rank") <= most)
+    return kept.select("repository", "phase", "rank", "file_id", "line_no", "severity", "rule", "effort", "impact")
