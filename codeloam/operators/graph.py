@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +104,12 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     return members.join(sizes, ["repository", "component"]).join(cycle, ["repository", "path"]).select("repository", "path", "component", "files", "length", "cycle")
 
 
+def cycle_issues(edges: DataFrame, longest: int = 4) -> DataFrame:
+    """(repository, severity, kind, location, description): one issue of high severity for each cycle."""
+    told = F.concat(F.lit("Files depend on each other in a circle: "), "cycle")
+    return cycles(edges, longest).select("repository", F.lit("high").alias("severity"), F.lit("architecture").alias("kind"), F.lit("whole project").alias("location"), told.alias("description"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(repository, path, imports, imported_by)."""
     e = clean_edges(edges)
@@ -108,25 +117,53 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.groupBy("repository", "path").agg(F.sum("o").alias("imports"), F.sum("i").alias("imported_by"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the edges of one partition: each node with the smallest node it is connected to there."""
+    root: dict[tuple[str | None, str], tuple[str | None, str]] = {}
+
+    def find(x):
+        path = []
+        while root.setdefault(x, x) != x:
+            path.append(x)
+            x = root[x]
+        for p in path:
+            root[p] = x
+        return x
+
+    for batch in batches:
+        for r, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = sorted((find((r, a)), find((r, b))), key=lambda n: n[1])
+            root[y] = x
+    nodes = [(x[0], x[1], find(x)[1]) for x in list(root)]
+    for at in range(0, len(nodes), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*nodes[at : at + 20_000])], ["repository", "node", "low"])
+
+
 def component_sizes(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(repository, component, nodes): weakly connected components, named by their smallest path.
 
-    Labels spread by minimum with pointer jumping, one join a round, until none changes or
-    ``rounds`` are over; a graph whose labels still change then raises an error.
+    Each partition joins its own edges first. Then stars are contracted by turns: every node
+    hands its larger neighbours, and then its smaller ones, to the smallest of all. The
+    smallest is found by an aggregate, so a hub's neighbours are never gathered. A graph that
+    still changes after ``rounds`` turns raises an error.
     """
-    spark = edges.sparkSession
     from ..sources.tables import written
 
-    e = clean_edges(edges)
-    both = written(e.unionByName(e.select("repository", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = both.groupBy("repository", "src").agg(F.least(F.min("dst"), F.first("src")).alias("label")).withColumnRenamed("src", "path")
-    labels = written(labels)
+    rows = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("repository", "src", "dst")
+    stars = written(rows.mapInArrow(_forest, "repository string, node string, low string").distinct())
+    mark = [F.count("*"), F.sum(F.xxhash64("repository", "node", "low").cast("decimal(20,0)"))]
+    seen = tuple(stars.agg(*mark).first())
     for _ in range(rounds):
-        near = both.join(labels, (both["repository"] == labels["repository"]) & (both["dst"] == labels["path"])).groupBy(both["repository"], "src").agg(F.min("label").alias("near"))
-        best = labels.join(near, (labels["repository"] == near["repository"]) & (labels["path"] == near["src"])).select(labels["repository"], "path", F.least("label", "near").alias("best"), "label")
-        jump = best.select(F.col("repository").alias("_r"), F.col("path").alias("_p"), F.col("best").alias("_b"))
-        new = written(best.join(jump, (best["repository"] == jump["_r"]) & (best["best"] == jump["_p"]), "left").select("repository", "path", F.least("best", F.coalesce("_b", "best")).alias("label"), F.col("label").alias("old")))
-        labels = new.select("repository", "path", "label")
-        if not new.filter("label <> old").limit(1).count():
-            return labels.groupBy("repository", F.col("label").alias("component")).agg(F.count("*").alias("nodes"))
-    raise RuntimeError(f"labels still change after {rounds} rounds in {spark.sparkContext.appName}")
+        links = stars.filter("node <> low")
+        both = links.select("repository", F.col("node").alias("a"), F.col("low").alias("b")).unionByName(links.select("repository", F.col("low").alias("a"), F.col("node").alias("b")))
+        least = both.groupBy("repository", "a").agg(F.least("a", F.min("b")).alias("low"))
+        large = both.filter("b > a").join(least, ["repository", "a"]).select("repository", F.col("b").alias("node"), "low").distinct()
+        smallest = large.groupBy("repository", "node").agg(F.min("low").alias("to"))
+        small = large.join(smallest, ["repository", "node"]).select("repository", F.explode(F.array(F.struct("node", F.col("to").alias("low")), F.struct(F.col("low").alias("node"), F.col("to").alias("low")))).alias("x")).select("repository", "x.*")
+        roots = small.select("repository", F.col("low").alias("node"), "low")
+        stars = written(small.unionByName(roots).distinct())
+        now = tuple(stars.agg(*mark).first())
+        if now == seen:
+            return stars.groupBy("repository", F.col("low").alias("component")).agg(F.count("*").alias("nodes"))
+        seen = now
+    raise RuntimeError(f"components still change after {rounds} rounds")
