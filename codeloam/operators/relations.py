@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, latest, record_text, stem
 from .extract import modules
 
-WORD = r"[A-Za-z0-9]+"
-
 
 def _imports(files: DataFrame) -> DataFrame:
     return latest(files, "repository", "path", "lines", modules(record_text()).alias("modules"))
 
 
+def substrings(text: Column) -> Column:
+    """All different substrings of a name; there are at most as many as the square of its length."""
+    n = F.length(text)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k)))))
+
+
 def dependency_edges(files: DataFrame) -> DataFrame:
-    """(repository, src, dst): a module imported by src names dst's stem, or is dst's last dotted part.
+    """(repository, src, dst): a module imported by src names dst's stem, or stands in it behind a dot.
 
-    An equi-join on the last part of the module and the stem; no pair of files is tried
-    that shares no name.
+    An equi-join on names; what may stand behind a dot are the beginnings of what follows it.
     """
     rows = _imports(files)
     sources = rows.select("repository", F.col("path").alias("src"), F.explode(F.array_distinct("modules")).alias("name"))
-    targets = rows.select("repository", F.col("path").alias("dst"), F.lower(stem(F.col("path"))).alias("name"))
+    name = F.lower(stem(F.col("path")))
+    dotted = F.transform(F.filter(substrings(name), lambda x: x.startswith(".") & (F.length(x) > 1)), lambda x: F.substring(x, 2, 1 << 30))
+    targets = rows.select("repository", F.col("path").alias("dst"), F.explode(F.array_distinct(F.concat(F.array(name), F.when(name.contains("."), dotted).otherwise(F.array().cast("array<string>"))))).alias("name"))
     return sources.withColumn("name", F.lower("name")).join(targets, ["repository", "name"]).filter("src <> dst").select("repository", "src", "dst").distinct()
 
 
 def component_interactions(files: DataFrame) -> DataFrame:
-    """(repository, from_component, to_component, strength): a module equals a word of another component's stem.
+    """(repository, from_component, to_component, strength): a module is a part of another component's stem.
 
-    Components are stems; of files with one stem the last path counts. Stems are matched
-    by their words, so that the join stays an equi-join. Strength is strong for more than
-    3 imports and sizes within a factor of two, medium for more than one import.
+    Components are stems; of files with one stem the last path counts. The substrings of
+    the stems are joined with the modules, so that it stays an equi-join. Strength is strong
+    for more than 3 imports and sizes within a factor of two, medium for more than one import.
     """
     newest = Window.partitionBy("repository", "component").orderBy(F.desc("path"))
     rows = _imports(files).withColumn("component", F.lower(stem(F.col("path")))).withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
     size, imports = F.greatest(F.coalesce("lines", F.lit(1)), F.lit(1)), F.size("modules")
     a = rows.select("repository", F.col("component").alias("from_component"), size.alias("size_a"), imports.alias("imports"), F.explode(F.array_distinct("modules")).alias("word")).withColumn("word", F.lower("word"))
-    words = F.array_distinct(F.concat(F.regexp_extract_all("component", F.lit(f"({WORD})"), 1), F.array("component")))
-    b = rows.select("repository", F.col("component").alias("to_component"), size.alias("size_b"), F.explode(words).alias("word"))
+    b = rows.select("repository", F.col("component").alias("to_component"), size.alias("size_b"), F.explode(substrings(F.col("component"))).alias("word"))
     pairs = a.join(b, ["repository", "word"]).filter("from_component <> to_component")
     alike = F.least("size_a", "size_b") / F.greatest("size_a", "size_b") > 0.5
     strength = F.when((F.col("imports") > 3) & alike, "strong").when(F.col("imports") > 1, "medium").otherwise("weak")
@@ -58,18 +63,41 @@ def similar_files(files: DataFrame, most: int = 4) -> DataFrame:
     """(file_id, similar_id, common_imports, common_functions), the first ``most`` by id.
 
     Similar is a file of the repository that shares more than 30 percent of the file's
-    import lines or more than 20 percent of its function names. Pairs come from an
-    equi-join on shared elements, counted before shares are taken.
+    import lines or more than 20 percent of its function names. Files with one set are a
+    class; of each class and of each item no more than the first ids are kept, as no file
+    can need more of them. A file that needs one common item takes the first ids of its
+    items. One that needs t of n is tried against the classes that hold one of its n - t + 1
+    rarest items, and the sets are then compared.
     """
-    rows = latest(files, "repository", F.coalesce("imports", F.array().cast("array<string>")).alias("i"), F.coalesce("functions", F.array().cast("array<string>")).alias("f"))
-    sizes = rows.select("file_id", F.size(F.array_distinct("i")).alias("ni"), F.size(F.array_distinct("f")).alias("nf"))
-    items = rows.select("file_id", "repository", F.explode(F.array_union(F.transform("i", lambda x: F.concat(F.lit("i"), x)), F.transform("f", lambda x: F.concat(F.lit("f"), x)))).alias("item"))
-    other = items.withColumnRenamed("file_id", "similar_id")
-    imported = F.col("item").startswith("i").cast("long")
-    common = items.join(other, ["repository", "item"]).filter("file_id <> similar_id").groupBy("file_id", "similar_id").agg(F.sum(imported).alias("common_imports"), F.sum(1 - imported).alias("common_functions"))
-    hits = common.join(sizes, "file_id").filter((F.col("common_imports") * 10 > F.greatest("ni", F.lit(1)) * 3) | (F.col("common_functions") * 5 > F.greatest("nf", F.lit(1))))
+    from ..sources.tables import written
+
+    rows = written(latest(files, "repository", *(F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))))).alias(k) for c, k in (("imports", "i"), ("functions", "f")))))
+    kinds = F.filter(F.array(F.struct(F.lit("i").alias("kind"), F.col("i").alias("items")), F.struct(F.lit("f").alias("kind"), F.col("f").alias("items"))), lambda x: F.size(x["items"]) > 0)
+    sets = rows.filter("repository IS NOT NULL").select("file_id", "repository", F.explode(kinds).alias("k")).select("file_id", "repository", "k.kind", "k.items")
+    first = lambda df, *by: df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("file_id"))).filter(F.col("_k") <= most + 1).drop("_k")
+    n = F.size("items")
+    need = F.when(F.col("kind") == "i", F.floor(n * 3 / 10)).otherwise(F.floor(n / 5)).cast("int") + 1
+    sets = written(sets.withColumn("class", F.xxhash64("repository", "kind", "items")).withColumn("need", need))
+    leading = first(sets.select("class", "file_id"), "class")
+    classes = written(sets.groupBy("class", "repository", "kind", "items", "need").agg(F.lit(1).alias("one")).drop("one"))
+    key = ["repository", "kind", "item"]
+    items = classes.select("class", "repository", "kind", "need", "items", F.explode("items").alias("item"))
+    by_item = first(sets.select("repository", "kind", "file_id", F.explode("items").alias("item")), *key).drop("_k")
+    single = items.filter("need = 1").select("class", *key).join(by_item, key).select("class", F.col("file_id").alias("similar_id"))
+    frequency = items.groupBy(*key).agg(F.count("*").alias("uses"))
+    ranked = items.filter("need > 1").join(frequency, key).groupBy("class").agg(F.first("need").alias("need"), F.first("items").alias("items"), F.array_sort(F.collect_list(F.struct("uses", *key))).alias("all"))
+    rarest = ranked.select("class", "need", "items", F.explode(F.slice("all", F.lit(1), F.size("all") - F.col("need") + 1)).alias("x")).select("class", "need", "items", *(F.col(f"x.{c}").alias(c) for c in key))
+    other = items.select(F.col("class").alias("other"), F.col("items").alias("others"), *key)
+    alike = rarest.join(other, key).filter(F.size(F.array_intersect("items", "others")) >= F.col("need")).select("class", "other").distinct()
+    several = alike.join(leading.select(F.col("class").alias("other"), F.col("file_id").alias("similar_id")), "other").select("class", "similar_id")
+    found = single.unionByName(several).distinct().withColumnRenamed("similar_id", "file_id")
+    kept = first(found, "class").select("class", F.col("file_id").alias("similar_id"))
+    pairs = sets.select("file_id", "class").join(kept, "class").filter("file_id <> similar_id").select("file_id", "similar_id").distinct()
     rank = F.row_number().over(Window.partitionBy("file_id").orderBy("similar_id"))
-    return hits.withColumn("n", rank).filter(F.col("n") <= most).select("file_id", "similar_id", "common_imports", "common_functions")
+    hits = pairs.withColumn("n", rank).filter(F.col("n") <= most).drop("n")
+    own, theirs = rows.select("file_id", "i", "f"), rows.select(F.col("file_id").alias("similar_id"), F.col("i").alias("i2"), F.col("f").alias("f2"))
+    common = lambda a, b: F.size(F.array_intersect(a, b)).cast("long")
+    return hits.join(own, "file_id").join(theirs, "similar_id").select("file_id", "similar_id", common("i", "i2").alias("common_imports"), common("f", "f2").alias("common_functions"))
 
 
 def import_frequency(files: DataFrame, most: int = 5) -> DataFrame:
