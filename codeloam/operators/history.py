@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rank import positioned
+
 #: Words of messages that tell of a repair.
 REPAIRS = ("fix", "bug", "error", "issue", "problem", "crash", "fault")
 
@@ -32,6 +34,13 @@ def bug_fixes(commits: DataFrame, changes: DataFrame, suffix: str = ".py") -> Da
     return changes_once(changes).filter(F.col("path").endswith(suffix)).select("commit", "repository", "path").distinct().join(repairs, "commit")
 
 
+def recent_bug_fixes(commits: DataFrame, changes: DataFrame, most: int = 500, suffix: str = ".py") -> DataFrame:
+    """``bug_fixes`` among the last ``most`` commits of each repository."""
+    rank = F.row_number().over(Window.partitionBy("repository").orderBy(F.desc("date"), "commit"))
+    last = commits_once(commits).withColumn("k", rank).filter(F.col("k") <= most).select("commit")
+    return bug_fixes(commits, changes, suffix).join(last, "commit", "left_semi")
+
+
 def bug_prone(commits: DataFrame, changes: DataFrame, least: int = 3, suffix: str = ".py") -> DataFrame:
     """(repository, path, bug_fixes) of the files repaired ``least`` times or more."""
     return bug_fixes(commits, changes, suffix).groupBy("repository", "path").agg(F.count("*").alias("bug_fixes")).filter(F.col("bug_fixes") >= least)
@@ -45,8 +54,8 @@ def churn(changes: DataFrame) -> DataFrame:
 
 def sampled_commits(commits: DataFrame, every: int = 7) -> DataFrame:
     """(repository, commit, position): each ``every``th commit from the newest on."""
-    rank = F.row_number().over(Window.partitionBy("repository").orderBy(F.desc("date"), "commit"))
-    return commits_once(commits).withColumn("position", rank).filter((F.col("position") - 1) % every == 0).select("repository", "commit", "position")
+    rows = positioned(commits_once(commits).select("repository", "commit", "date"), "repository", F.desc("date"), "commit")
+    return rows.filter((F.col("position") - 1) % every == 0).select("repository", "commit", "position")
 
 
 def three_points(commits: DataFrame, most: int = 100) -> DataFrame:
@@ -68,8 +77,8 @@ def directories(changes: DataFrame) -> DataFrame:
 
 def new_directories(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """(repository, directory) of top directories changed in the later half of the commits only."""
-    half = F.ntile(2).over(Window.partitionBy("repository").orderBy("date", "commit"))
-    dated = commits_once(commits).withColumn("half", half).select("commit", "half")
+    half = F.when(F.col("position") * 2 <= F.col("total") + 1, 1).otherwise(2)
+    dated = positioned(commits_once(commits).select("repository", "commit", "date"), "repository", "date", "commit").select("commit", half.alias("half"))
     rows = changes.filter("path IS NOT NULL").select("commit", "repository", directory(F.col("path")).alias("directory")).distinct().join(dated, "commit")
     early = rows.filter("half = 1").select("repository", "directory").distinct()
     return rows.filter("half = 2").select("repository", "directory").distinct().join(early, ["repository", "directory"], "left_anti")
@@ -117,9 +126,9 @@ def forecasts(history: DataFrame) -> DataFrame:
 
 
 def file_complexity(history: DataFrame) -> DataFrame:
-    """(repository, path, commit, functions, complexity): sum over a file's functions at each commit; the path precedes ::."""
+    """(repository, path, commit, functions, complexity): mean over a file's functions at each commit; the path precedes ::."""
     rows = history_once(history).filter("complexity IS NOT NULL").withColumn("path", F.substring_index("entity", "::", 1))
-    return rows.groupBy("repository", "path", "commit").agg(F.count("*").alias("functions"), F.sum("complexity").alias("complexity"))
+    return rows.groupBy("repository", "path", "commit").agg(F.count("*").alias("functions"), F.avg("complexity").alias("complexity"))
 
 
 def evolution_summary(commits: DataFrame, changes: DataFrame, history: DataFrame) -> DataFrame:
