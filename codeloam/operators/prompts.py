@@ -7,20 +7,14 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How roles are written in a prompt.
-ROLES = {"system": "System: ", "user": "User: "}
-
-
-def message_prompts(messages: DataFrame, by: str, order: list[str], trailer: str = "Assistant:") -> DataFrame:
-    """(by, prompt): the messages of each conversation in order, with their roles; other roles are dropped.
+def message_prompts(messages: DataFrame, by: str, order: list[str], label: str = "User", trailer: str = "Assistant:") -> DataFrame:
+    """(by, prompt): the messages of each conversation in order, with their roles; roles but system and user are dropped.
 
     ``messages`` has role and text; NULL texts count as empty. A conversation is one
-    group, which its length bounds.
+    group, which its length bounds; ``label`` is what the user is called.
     """
-    label = None
-    for role, written in ROLES.items():
-        label = F.when(F.col("role") == role, written) if label is None else label.when(F.col("role") == role, written)
-    rows = messages.filter(F.col("role").isin(*ROLES)).select(by, F.struct(*order, F.concat(label, F.coalesce("text", F.lit(""))).alias("_line")).alias("_m"))
+    label = F.when(F.col("role") == "system", "System: ").otherwise(f"{label}: ")
+    rows = messages.filter(F.col("role").isin("system", "user")).select(by, F.struct(*order, F.concat(label, F.coalesce("text", F.lit(""))).alias("_line")).alias("_m"))
     blocks = rows.groupBy(by).agg(F.sort_array(F.collect_list("_m")).alias("_all"))
     return blocks.select(by, F.concat_ws("\n\n", F.col("_all._line"), F.lit(trailer) if trailer else F.lit(None)).alias("prompt"))
 

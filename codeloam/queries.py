@@ -193,6 +193,7 @@ b1 AS (SELECT *, {_NORM} AS norm FROM b0 WHERE filled > 3),
 b AS (SELECT repository, file_id, path, start_line, n_lines, md5(norm) AS digest FROM b1 WHERE norm <> ''),
 d AS (SELECT *, row_number() OVER w AS rn, first_value(path) OVER w AS op, first_value(start_line) OVER w AS ol FROM b WINDOW w AS (PARTITION BY repository, digest ORDER BY path, start_line, file_id))"""
 add("duplicate_blocks", duplicates.duplicate_blocks, FILES, sql=f"WITH {_BLOCKS} SELECT repository, op AS original_path, CAST(ol AS INTEGER) AS original_line, path AS duplicate_path, CAST(start_line AS INTEGER) AS duplicate_line, CAST(n_lines AS INTEGER) AS n_lines FROM d WHERE rn > 1")
+add("duplicate_definitions", duplicates.duplicate_definitions, FILES)
 add(
     "duplication", duplicates.duplication, FILES,
     sql=f"WITH {_BLOCKS}, t AS (SELECT repository, CAST(coalesce(sum(lines), 0) AS BIGINT) AS total_lines FROM f GROUP BY repository), g AS (SELECT repository, count(*) AS n, sum(n_lines) AS s FROM d WHERE rn > 1 GROUP BY repository) SELECT repository, coalesce(n, 0) AS duplicate_blocks, CAST(coalesce(s, 0) AS BIGINT) AS duplicate_lines, total_lines, CAST(coalesce(s, 0) AS BIGINT) * CAST(100 AS DOUBLE) / greatest(total_lines, 1) AS duplication_pct FROM t LEFT JOIN g USING (repository)",
@@ -205,7 +206,7 @@ add(
     "complexity_levels", quality.complexity_indicators, FILES,
     sql=f"WITH {F_}, g AS (SELECT repository, coalesce(lines, 0) AS n, len(regexp_extract_all({TEXT}, '(?:def|function|func)\\s+\\w+')) AS functions, {MODULES} AS ms FROM f), s AS (SELECT repository, count(*) AS files, CAST(sum(n) AS BIGINT) AS total_lines, CAST(sum(functions) AS BIGINT) AS functions FROM g GROUP BY repository), m AS (SELECT repository, count(DISTINCT m) AS modules FROM (SELECT repository, unnest(ms) AS m FROM g) GROUP BY repository), j AS (SELECT repository, files, total_lines, functions, coalesce(modules, 0) AS modules FROM s LEFT JOIN m USING (repository)), k AS (SELECT *, files * 100 + total_lines + functions * 500 + modules * 2000 AS score FROM j) SELECT repository, files, total_lines, functions, modules, CASE WHEN score < 20000 THEN 'Low' WHEN score < 100000 THEN 'Medium' WHEN score < 300000 THEN 'High' ELSE 'Very High' END AS level FROM k",
 )
-add("large_files", lambda files: quality.large_files(files, 300), FILES, sql=f"WITH {F_} SELECT file_id, path, lines FROM f WHERE lines > 300")
+add("large_files", quality.large_files, FILES, sql=f"WITH {F_} SELECT file_id, path, lines FROM f WHERE lines > 1000")
 add("script_findings", quality.script_findings, FILES)
 
 
@@ -217,11 +218,11 @@ add("script_scores", script_scores, FILES)
 
 # Relations
 _DEPENDENCIES = f"{F_}, m AS (SELECT repository, path, file_id, lines, {MODULES} AS ms FROM f)"
-add("dependency_edges", relations.dependency_edges, FILES, sql=f"WITH {_DEPENDENCIES}, a AS (SELECT DISTINCT repository, path AS src, lower(unnest(ms)) AS n FROM m), b AS (SELECT repository, path AS dst, lower({STEM}) AS n FROM f) SELECT DISTINCT repository, src, dst FROM a JOIN b USING (repository, n) WHERE src <> dst")
+add("dependency_edges", relations.dependency_edges, FILES, sql=f"WITH {_DEPENDENCIES}, a AS (SELECT DISTINCT repository, path AS src, lower(unnest(ms)) AS n FROM m), b AS (SELECT repository, path AS dst, lower({STEM}) AS n FROM f) SELECT DISTINCT a.repository, src, dst FROM a JOIN b ON a.repository = b.repository AND (a.n = b.n OR contains(b.n, '.' || a.n)) WHERE src <> dst")
 _SIZE = "greatest(coalesce(lines, 1), 1)"
 add(
     "component_interactions", relations.component_interactions, FILES,
-    sql=f"WITH {_DEPENDENCIES}, k AS (SELECT *, lower({STEM}) AS component FROM m QUALIFY row_number() OVER (PARTITION BY repository, component ORDER BY path DESC) = 1), a AS (SELECT DISTINCT repository, component AS from_component, {_SIZE} AS sa, len(ms) AS imports, lower(unnest(ms)) AS w FROM k), b AS (SELECT DISTINCT repository, component AS to_component, {_SIZE} AS sb, unnest(list_append(regexp_extract_all(component, '([A-Za-z0-9]+)', 1), component)) AS w FROM k) SELECT DISTINCT repository, from_component, to_component, CASE WHEN imports > 3 AND least(sa, sb) / greatest(sa, sb) > 0.5 THEN 'strong' WHEN imports > 1 THEN 'medium' ELSE 'weak' END AS strength FROM a JOIN b USING (repository, w) WHERE from_component <> to_component",
+    sql=f"WITH {_DEPENDENCIES}, k AS (SELECT *, lower({STEM}) AS component FROM m QUALIFY row_number() OVER (PARTITION BY repository, component ORDER BY path DESC) = 1), a AS (SELECT DISTINCT repository, component AS from_component, {_SIZE} AS sa, len(ms) AS imports, lower(unnest(ms)) AS w FROM k), b AS (SELECT DISTINCT repository, component AS to_component, {_SIZE} AS sb, component FROM k) SELECT DISTINCT a.repository, from_component, to_component, CASE WHEN imports > 3 AND least(sa, sb) / greatest(sa, sb) > 0.5 THEN 'strong' WHEN imports > 1 THEN 'medium' ELSE 'weak' END AS strength FROM a JOIN b ON a.repository = b.repository AND contains(component, w) WHERE from_component <> to_component",
 )
 add("importers", relations.importers, "edges", sql="WITH d AS (SELECT DISTINCT repository, src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), n AS (SELECT *, string_split(src, '/')[-1] AS name FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY repository, dst ORDER BY name, src) AS k FROM n) SELECT repository, dst AS path, string_agg(name, ', ' ORDER BY k) AS importers FROM r WHERE k <= 5 GROUP BY repository, dst")
 add(
@@ -250,7 +251,8 @@ add("entry_points", ranking.entry_points, FILES, sql=f"WITH {F_} " + " UNION ALL
 
 # History
 add("bug_fixes", history.bug_fixes, "commits", "commit_files", sql=f"WITH {C_} SELECT DISTINCT commit, k.repository, path, date, string_split(message, chr(10))[1] AS subject FROM commit_files k JOIN c USING (commit) WHERE regexp_matches(lower(message), '{'|'.join(history.REPAIRS)}') AND ends_with(path, '.py')")
-add("bug_prone", lambda c, k: history.bug_prone(c, k, 2), "commits", "commit_files", sql=f"WITH {C_}, d AS (SELECT DISTINCT commit, k.repository, path FROM commit_files k JOIN c USING (commit) WHERE regexp_matches(lower(message), '{'|'.join(history.REPAIRS)}') AND ends_with(path, '.py')) SELECT repository, path, count(*) AS bug_fixes FROM d GROUP BY repository, path HAVING count(*) >= 2")
+add("recent_bug_fixes", history.recent_bug_fixes, "commits", "commit_files", sql=f"WITH {C_}, l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY repository ORDER BY date DESC, commit) <= 500) SELECT DISTINCT commit, k.repository, path, date, string_split(message, chr(10))[1] AS subject FROM commit_files k JOIN l USING (commit) WHERE regexp_matches(lower(message), '{'|'.join(history.REPAIRS)}') AND ends_with(path, '.py')")
+add("bug_prone", history.bug_prone, "commits", "commit_files", sql=f"WITH {C_}, d AS (SELECT DISTINCT commit, k.repository, path FROM commit_files k JOIN c USING (commit) WHERE regexp_matches(lower(message), '{'|'.join(history.REPAIRS)}') AND ends_with(path, '.py')) SELECT repository, path, count(*) AS bug_fixes FROM d GROUP BY repository, path HAVING count(*) >= 3")
 add("churn", history.churn, "commit_files", sql="WITH d AS (SELECT DISTINCT commit, repository, path, insertions, deletions FROM commit_files) SELECT repository, path, count(DISTINCT commit) AS commits, CAST(coalesce(sum(insertions), 0) AS BIGINT) AS insertions, CAST(coalesce(sum(deletions), 0) AS BIGINT) AS deletions FROM d GROUP BY repository, path")
 add("recent_commits", lambda c: history.recent_commits(c, 180), "commits", sql=f"WITH {C_} SELECT commit, repository, date FROM c QUALIFY date >= max(date) OVER (PARTITION BY repository) - INTERVAL 180 DAY")
 add("sampled_commits", history.sampled_commits, "commits", sql=f"WITH {C_}, r AS (SELECT repository, commit, CAST(row_number() OVER (PARTITION BY repository ORDER BY date DESC, commit) AS INTEGER) AS position FROM c) SELECT * FROM r WHERE (position - 1) % 7 = 0")
@@ -264,14 +266,16 @@ add("complexity_alerts", history.complexity_alerts, "history", sql=f"WITH {H_},
 _TREND = f"{H_}, w AS (SELECT *, row_number() OVER (PARTITION BY repository, entity ORDER BY date DESC, commit DESC) AS k, count(*) OVER (PARTITION BY repository, entity) AS points, lag(lines) OVER (PARTITION BY repository, entity ORDER BY date, commit) AS before FROM h WHERE lines IS NOT NULL), t AS (SELECT repository, entity, any_value(points) AS points, max(CASE WHEN k = 1 THEN lines END) AS lines, sum(CASE WHEN k < least(points, 3) AND before > 0 THEN (lines - before) * CAST(100 AS DOUBLE) / before ELSE CAST(0 AS DOUBLE) END) AS s FROM w WHERE k <= 3 GROUP BY repository, entity), trend AS (SELECT repository, entity, points, lines, CASE WHEN points > 1 THEN s / (least(points, 3) - 1) ELSE CAST(0 AS DOUBLE) END AS trend_pct FROM t)"
 add("growth_trends", history.growth_trends, "history", sql=f"WITH {_TREND} SELECT * FROM trend")
 add("forecasts", history.forecasts, "history", sql=f"WITH {_TREND}, p AS (SELECT *, lines * pow(1 + trend_pct / 100, 3) AS p FROM trend WHERE points >= 3 AND trend_pct > 20) SELECT repository, entity, lines, CAST(floor(p) AS BIGINT) AS predicted_lines, CASE WHEN p > 150 THEN 'high' ELSE 'medium' END AS priority FROM p WHERE p > 100")
-add("history_complexity", history.file_complexity, "history", sql=f"WITH {H_} SELECT repository, string_split(entity, '::')[1] AS path, commit, count(*) AS functions, CAST(sum(complexity) AS BIGINT) AS complexity FROM h WHERE complexity IS NOT NULL GROUP BY ALL")
+add("history_complexity", history.file_complexity, "history", sql=f"WITH {H_} SELECT repository, string_split(entity, '::')[1] AS path, commit, count(*) AS functions, avg(complexity) AS complexity FROM h WHERE complexity IS NOT NULL GROUP BY ALL")
 add("evolution_summary", history.evolution_summary, "commits", "commit_files", "history", sql=f"WITH {C_}, {_GROWTH}, x AS (SELECT repository, count(*) AS commits FROM c GROUP BY repository), p AS (SELECT repository, count(DISTINCT path) AS changed_paths FROM commit_files GROUP BY repository), n AS (SELECT repository, count(DISTINCT entity) AS entities FROM history GROUP BY repository), w AS (SELECT repository, count(*) AS growth_alerts FROM a WHERE growth_pct > 200 GROUP BY repository) SELECT repository, commits, coalesce(changed_paths, 0) AS changed_paths, coalesce(entities, 0) AS entities, coalesce(growth_alerts, 0) AS growth_alerts FROM x LEFT JOIN p USING (repository) LEFT JOIN n USING (repository) LEFT JOIN w USING (repository)")
 
 # Graphs
+_CYCLES = f"WITH RECURSIVE {E_}, p AS (SELECT repository, [src, dst] AS nodes, false AS closed FROM e WHERE src < dst UNION ALL SELECT p.repository, CASE WHEN e.dst = nodes[1] THEN nodes ELSE list_append(nodes, e.dst) END, e.dst = nodes[1] FROM p JOIN e ON e.repository = p.repository AND e.src = nodes[-1] WHERE NOT closed AND len(nodes) <= 4 AND (e.dst = nodes[1] OR (len(nodes) < 4 AND e.dst > nodes[1] AND NOT list_contains(nodes, e.dst)))) SELECT repository, CAST(len(nodes) AS BIGINT) AS length, array_to_string(nodes, ' -> ') AS cycle FROM p WHERE closed"
 add(
     "cycles", graph.cycles, "edges",
-    sql=f"WITH RECURSIVE {E_}, p AS (SELECT repository, [src, dst] AS nodes, false AS closed FROM e WHERE src < dst UNION ALL SELECT p.repository, CASE WHEN e.dst = nodes[1] THEN nodes ELSE list_append(nodes, e.dst) END, e.dst = nodes[1] FROM p JOIN e ON e.repository = p.repository AND e.src = nodes[-1] WHERE NOT closed AND len(nodes) <= 4 AND (e.dst = nodes[1] OR (len(nodes) < 4 AND e.dst > nodes[1] AND NOT list_contains(nodes, e.dst)))) SELECT repository, CAST(len(nodes) AS BIGINT) AS length, array_to_string(nodes, ' -> ') AS cycle FROM p WHERE closed",
+    sql=_CYCLES,
 )
+add("cycle_issues", graph.cycle_issues, "edges", sql=f"SELECT repository, 'high' AS severity, 'architecture' AS kind, 'whole project' AS location, 'Files depend on each other in a circle: ' || cycle AS description FROM ({_CYCLES}) q")
 add("cycle_members", graph.cycle_members, "edges")
 add("degrees", graph.degrees, "edges", sql=f"WITH {E_}, d AS (SELECT repository, src AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT repository, dst, 0, 1 FROM e) SELECT repository, path, CAST(sum(o) AS BIGINT) AS imports, CAST(sum(i) AS BIGINT) AS imported_by FROM d GROUP BY repository, path")
 add("component_sizes", graph.component_sizes, "edges", sql=f"WITH RECURSIVE {E_}, u AS (SELECT repository, src AS a, dst AS b FROM e UNION SELECT repository, dst, src FROM e), r AS (SELECT repository, a AS root, a AS node FROM u UNION SELECT r.repository, r.root, u.b FROM r JOIN u ON u.repository = r.repository AND u.a = r.node), m AS (SELECT repository, node, min(root) AS component FROM r GROUP BY repository, node) SELECT repository, component, count(*) AS nodes FROM m GROUP BY repository, component")
@@ -296,14 +300,16 @@ add("risk_levels", risk_levels, FILES)
 # Prompts and diagrams
 
 
-def conversations(documents: DataFrame) -> DataFrame:
-    """Documents of a source as its conversation: read-mes set the scene, answers and reviews come from the user."""
+def conversations(documents: DataFrame, label: str = "User") -> DataFrame:
+    """Documents of a source and day as a conversation: read-mes set the scene, answers and reviews come from the user."""
     role = F.when(F.col("kind") == "readme", "system").when(F.col("kind").isin("answer", "review"), "user").otherwise("assistant")
-    rows = documents.filter("source IS NOT NULL AND doc_id IS NOT NULL").select("source", F.col("created_at").alias("at"), "doc_id", role.alias("role"), "text")
-    return prompts.message_prompts(rows, "source", ["at", "doc_id"])
+    rows = documents.filter("source IS NOT NULL AND doc_id IS NOT NULL").select(F.concat_ws("@", "source", F.to_date("created_at").cast("string")).alias("conversation"), F.col("created_at").alias("at"), "doc_id", role.alias("role"), "text")
+    return prompts.message_prompts(rows, "conversation", ["at", "doc_id"], label)
 
 
-add("message_prompts", conversations, "documents", sql="""WITH m AS (SELECT source, created_at, doc_id, CASE WHEN kind = 'readme' THEN 'System: ' ELSE 'User: ' END || coalesce(text, '') AS line FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND kind IN ('readme', 'answer', 'review')) SELECT source, string_agg(line, chr(10) || chr(10) ORDER BY created_at NULLS FIRST, doc_id) || chr(10) || chr(10) || 'Assistant:' AS prompt FROM m GROUP BY source""")
+_CONVERSATIONS = """WITH m AS (SELECT concat_ws('@', source, CAST(CAST(created_at AS DATE) AS VARCHAR)) AS conversation, created_at, doc_id, CASE WHEN kind = 'readme' THEN 'System: ' ELSE 'User: ' END || coalesce(text, '') AS line FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND kind IN ('readme', 'answer', 'review')) SELECT conversation, string_agg(line, chr(10) || chr(10) ORDER BY created_at NULLS FIRST, doc_id) || chr(10) || chr(10) || 'Assistant:' AS prompt FROM m GROUP BY conversation"""
+add("message_prompts", conversations, "documents", sql=_CONVERSATIONS)
+add("human_prompts", lambda documents: conversations(documents, "Human"), "documents", sql=_CONVERSATIONS.replace("'User: '", "'Human: '"))
 add("file_prompts", lambda files: prompts.file_prompts(ranking.priority(files), files), FILES)
 add("batch_prompts", lambda files: prompts.batched(prompts.file_prompts(ranking.priority(files), files)), FILES)
 _FIRST = f"{E_}, k AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY src, dst) AS n FROM e QUALIFY n <= 10)"

@@ -110,7 +110,7 @@ def test_history(spark):
     assert rows(history.complexity_alerts(table), "entity") == [("f.py::g",)]
     assert rows(history.growth_trends(table), "entity", "trend_pct") == [("f.py::g", 100.0), ("f.py::h", 0.0), ("z.py::one", 0.0)]
     assert rows(history.forecasts(table), "entity", "predicted_lines", "priority") == [("f.py::g", 320, "high")]
-    assert rows(history.file_complexity(table).filter("commit = 'c0'"), "path", "functions", "complexity") == [("f.py", 2, 5)]
+    assert rows(history.file_complexity(table).filter("commit = 'c0'"), "path", "functions", "complexity") == [("f.py", 2, 2.5)]
     commits = spark.createDataFrame([(f"c{k}", "r", at(k), ["Fix: x\n\nmore", "add y", None, "BUGfix z"][k % 4], at(k)) for k in range(9)] + [("c0", "r", at(0), "Fix: x\n\nmore", at(50))], COMMITS)
     changes = spark.createDataFrame([(f"c{k}", "r", p, 1, None) for k in range(9) for p in ("a/f.py", "g.md")] + [("c8", "r", "new/h.py", 2, 2), ("c0", "r", "a/f.py", 1, None)], COMMIT_FILES)
     assert rows(history.bug_prone(commits, changes)) == [("r", "a/f.py", 5)]
