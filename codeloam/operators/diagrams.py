@@ -51,3 +51,15 @@ def flow_texts(edges: DataFrame, most: int = 10) -> DataFrame:
     kept = rows.withColumn("n", F.row_number().over(Window.partitionBy("repository").orderBy("src", "dst"))).filter(F.col("n") <= most)
     line = F.concat(basename(F.col("src")), F.lit(" -> "), basename(F.col("dst")))
     return kept.groupBy("repository").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x.t), "\n").alias("flow"))
+
+
+def diagram_components(diagrams: DataFrame, most: int = 10) -> DataFrame:
+    """(repository, components, flow): the first node labels and arrows of each diagram as text."""
+    first = lambda df, item, order: df.withColumn("n", F.row_number().over(Window.partitionBy("repository").orderBy(order))).filter(F.col("n") <= most).groupBy("repository").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    nodes = diagram_nodes(diagrams)
+    arrows = diagram_edges(diagrams)
+    names = nodes.select("repository", "id", "label")
+    a, b = names.select("repository", F.col("id").alias("from_id"), F.col("label").alias("x")), names.select("repository", F.col("id").alias("to_id"), F.col("label").alias("y"))
+    flow = arrows.join(a, ["repository", "from_id"]).join(b, ["repository", "to_id"]).select("repository", F.concat("x", F.lit(" -> "), "y").alias("line"))
+    components = first(names, F.col("label"), F.col("id")).withColumnRenamed("text", "components")
+    return components.join(first(flow, F.col("line"), F.col("line")).withColumnRenamed("text", "flow"), "repository", "left")

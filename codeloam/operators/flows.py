@@ -82,6 +82,16 @@ def data_flow_diagrams(files: DataFrame, most: int = 2) -> DataFrame:
     return drawn.select("repository", F.concat_ws("\n", F.lit("graph TD"), F.flatten("all.lines")).alias("diagram"))
 
 
+def all_diagrams(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repository, kind, diagram): execution of the first entry point, interactions and data flow, each where there is one."""
+    from .diagrams import interaction_diagrams
+
+    flows = flow_steps(files, 1)
+    execution = execution_diagrams(flows).join(flows.select("file_id", "repository").distinct(), "file_id").select("repository", F.lit("execution").alias("kind"), "diagram")
+    interactions = interaction_diagrams(edges).select("repository", F.lit("interactions").alias("kind"), "diagram")
+    return execution.unionByName(interactions).unionByName(data_flow_diagrams(files).select("repository", F.lit("data_flow").alias("kind"), "diagram"))
+
+
 def simplified(diagram: Column, nodes: int = 10, label: int = 20) -> Column:
     """Without styles, with labels of at most ``label`` characters, and without arrows once more than ``nodes`` nodes stand."""
     lines = F.filter(F.transform(F.split(diagram, "\n"), strip), lambda x: (x != "") & ~x.rlike(r"^(?:style |classDef)"))

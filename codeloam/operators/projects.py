@@ -11,8 +11,14 @@ from ..functions.text import basename, contains_any, labels, latest
 TYPES = ("educational", "production", "research", "prototype")
 NAMES = ("nano", "mini", "simple", "tutorial", "learn", "demo")
 FILE_WORDS = {"educational": (("# simple", "# minimal", "# tutorial", "# example"), 20), "production": (("logging", "error_handler", "production", "deploy"), 15), "research": (("experiment", "paper", "research", "arxiv"), 20)}
-#: Least complexity and size that are findings, by type.
-THRESHOLDS = {"educational": (20, 100), "production": (10, 50), "research": (15, 80), "prototype": (15, 75)}
+#: For each type of project the least complexity and size that are findings, the least share of comments and the most of copies in percent, the weights of speed and clarity, and points added to a score.
+STANDARDS = {
+    "educational": (20, 100, 10, 15, 0.3, 0.7, 20),
+    "production": (10, 50, 20, 5, 0.8, 0.5, 0),
+    "research": (15, 80, 15, 10, 0.4, 0.6, 10),
+    "prototype": (15, 75, 8, 20, 0.4, 0.6, 15),
+}
+STANDARD = ("complexity", "function_size", "comments", "copies", "speed_weight", "clarity_weight", "bonus")
 #: Words of domains, frameworks and tasks.
 DOMAINS = {
     "Machine Learning": "model train predict neural torch tensorflow", "Web Service": "api endpoint request response server", "Data Processing": "process transform parse data csv json", "Command Line Tool": "cli command args parser",
@@ -44,7 +50,7 @@ def typed_findings(files: DataFrame) -> DataFrame:
     """(repository, file_id, line_no, name, rule, severity) of Python functions above the thresholds of the repository's type."""
     from . import astmetrics
 
-    limit = lambda at: F.coalesce(*(F.when(F.col("project_type") == k, v[at]) for k, v in THRESHOLDS.items()))
+    limit = lambda at: F.coalesce(*(F.when(F.col("project_type") == k, v[at]) for k, v in STANDARDS.items()))
     rows = astmetrics.functions(files).filter("NOT is_async").join(latest(files, "repository"), "file_id").join(project_types(files).select("repository", "project_type"), "repository")
     c, n = F.col("complexity_blocks"), F.col("n_lines") - 1
     complexity = F.when(c > limit(0), F.struct(F.lit("complexity").alias("rule"), F.when(c < limit(0) + 5, "medium").otherwise("high").alias("severity")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -77,11 +78,59 @@ class Rotation:
         self.limited.add(key)
 
 
+class Limited(Exception):
+    """Raised by a client whose key may not be used any more."""
+
+
+class Service:
+    """A client behind a name: with keys in turn, several tries with growing pauses, and None where all fail."""
+
+    def __init__(self, name: str, call: Callable[[str, str | None], str | None], keys: list[str] | None = None, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.name, self.call, self.tries, self.sleep = name, call, tries, sleep
+        self.keys = Rotation(keys) if keys is not None else None
+        self.requests = 0
+
+    @property
+    def available(self) -> bool:
+        return self.keys is None or bool(set(self.keys.keys) - self.keys.limited)
+
+    def __call__(self, prompt: str) -> str | None:
+        self.requests += 1
+        for _ in range(len(self.keys.keys) if self.keys else 1):
+            key = self.keys.next() if self.keys else None
+            if self.keys and key is None:
+                return None
+            for k in range(self.tries):
+                try:
+                    return self.call(prompt, key)
+                except Limited:
+                    if self.keys:
+                        self.keys.limit(key)
+                    break
+                except Exception:
+                    if k + 1 < self.tries:
+                        self.sleep(2.0**k)
+        return None
+
+
 class Router:
     """Asks clients in order until one answers, and counts who did."""
 
     def __init__(self, clients: dict[str, Callable[[str], str | None]]) -> None:
-        self.clients, self.counts, self.failures = clients, {k: 0 for k in clients}, 0
+        self.clients, self.counts, self.failures = dict(clients), {k: 0 for k in clients}, 0
+
+    def add(self, name: str, client: Callable[[str], str | None]) -> None:
+        self.clients[name] = client
+        self.counts.setdefault(name, 0)
+
+    def prefer(self, name: str) -> None:
+        """Asks ``name`` first from now on."""
+        self.clients = {name: self.clients[name]} | self.clients
+
+    def status(self) -> dict:
+        """Which clients can be asked, which comes first, and how often each answered."""
+        ready = [k for k, c in self.clients.items() if getattr(c, "available", True)]
+        return {"services": list(self.clients), "available": ready, "first": ready[0] if ready else None, "requests": sum(self.counts.values()) + self.failures, "answers": dict(self.counts), "failures": self.failures, "ready": bool(ready)}
 
     def __call__(self, prompt: str) -> str | None:
         for name, client in self.clients.items():
@@ -94,3 +143,48 @@ class Router:
                 return answer
         self.failures += 1
         return None
+
+
+def keys_of(settings: dict[str, str], name: str, most: int = 4) -> list[str]:
+    """The values of name_1 to name_``most`` that are set, in order."""
+    return [v for k in range(1, most + 1) if (v := (settings.get(f"{name}_{k}") or "").strip())]
+
+
+def discovered(settings: dict[str, str], builders: dict[str, Callable[[dict[str, str]], Callable | None]]) -> Router:
+    """A router over the services that ``settings`` allow, in the order of ``builders``; one that gives None or fails is left out."""
+    clients = {}
+    for name, build in builders.items():
+        try:
+            client = build(settings)
+        except Exception:
+            client = None
+        if client is not None:
+            clients[name] = client
+    return Router(clients)
+
+
+class Session:
+    """A conversation with what was explored, made and covered in it; each different thing adds ten percent of progress."""
+
+    def __init__(self, history: list[dict] | None = None) -> None:
+        self.history = list(history or [])
+        self.explored: list[str] = []
+        self.exercises: list[str] = []
+        self.topics: list[str] = []
+        self.level = "beginner"
+
+    def say(self, role: str, content: str) -> None:
+        self.history.append({"role": role, "content": content})
+
+    def note(self, file: str | None = None, exercise: str | None = None, topic: str | None = None, level: str | None = None) -> None:
+        for value, seen in ((file, self.explored), (exercise, self.exercises), (topic, self.topics)):
+            if value and value not in seen:
+                seen.append(value)
+        self.level = level or self.level
+
+    @property
+    def progress(self) -> int:
+        return min(100, 10 * (len(self.explored) + len(self.exercises) + len(self.topics)))
+
+    def clear(self) -> None:
+        self.history = []

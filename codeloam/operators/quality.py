@@ -28,15 +28,19 @@ def comment_ratios(files: DataFrame) -> DataFrame:
 
 
 def complexity_indicators(files: DataFrame) -> DataFrame:
-    """(repository, files, total_lines, functions, modules, level) with a level from their weighted sum."""
+    """(repository, files, total_lines, functions, large_functions, modules, mean_lines, level) with a level from a weighted sum.
+
+    A function is large if more than 50 lines lie between its head and the next.
+    """
     from .extract import modules
 
     text = record_text()
     count = F.regexp_count(text, F.lit(r"(?:def|function|func)\s+\w+"))
-    rows = latest(files, "repository", F.coalesce("lines", F.lit(0)).alias("lines"), count.alias("functions"), modules(text).alias("modules"))
-    sums = rows.groupBy("repository").agg(F.count("*").alias("files"), F.sum("lines").alias("total_lines"), F.sum("functions").alias("functions"))
+    between = F.filter(F.slice(F.split(text, r"(?:def|function|func)\s+\w+"), 2, 1 << 30), lambda x: F.regexp_count(x, F.lit("\n")) >= 50)
+    rows = latest(files, "repository", F.coalesce("lines", F.lit(0)).alias("lines"), count.alias("functions"), F.size(between).alias("large"), modules(text).alias("modules"))
+    sums = rows.groupBy("repository").agg(F.count("*").alias("files"), F.sum("lines").alias("total_lines"), F.sum("functions").alias("functions"), F.sum("large").alias("large_functions"))
     names = rows.select("repository", F.explode("modules").alias("m")).groupBy("repository").agg(F.countDistinct("m").alias("modules"))
-    out = sums.join(names, "repository", "left").withColumn("modules", F.coalesce("modules", F.lit(0)))
+    out = sums.join(names, "repository", "left").withColumn("modules", F.coalesce("modules", F.lit(0))).withColumn("mean_lines", F.col("total_lines") / F.col("files"))
     score = F.col("files") * 100 + F.col("total_lines") + F.col("functions") * 500 + F.col("modules") * 2000
     return out.withColumn("level", F.when(score < 20_000, "Low").when(score < 100_000, "Medium").when(score < 300_000, "High").otherwise("Very High"))
 
@@ -68,10 +72,14 @@ def findings_score(findings: DataFrame, by: str) -> DataFrame:
     """(by, findings, critical, high, medium, low, score, grade) from rows with a severity."""
     counts = findings.groupBy(by).agg(F.count("*").alias("findings"), *(F.count_if(F.col("severity") == s).alias(s) for s in COSTS))
     scored = counts.withColumn("score", F.greatest(F.lit(0), 100 - sum((F.col(s) * n for s, n in COSTS.items()), F.lit(0))))
-    grade = None
+    return scored.withColumn("grade", grade(F.col("score")))
+
+
+def grade(score: Column) -> Column:
+    out = None
     for least, name in GRADES:
-        grade = F.when(F.col("score") >= least, name) if grade is None else grade.when(F.col("score") >= least, name)
-    return scored.withColumn("grade", grade.otherwise("F"))
+        out = F.when(score >= least, name) if out is None else out.when(score >= least, name)
+    return out.otherwise("F")
 
 
 def script_findings(files: DataFrame) -> DataFrame:

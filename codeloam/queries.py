@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import corpus
 from .functions.text import latest, record_text
-from .operators import astmetrics, diagrams, duplicates, extract, flows, graph, history, overview, projects, prompts, quality, ranking, relations, rules
+from .operators import advice, astmetrics, diagrams, duplicates, extract, flows, graph, history, overview, projects, prompts, quality, ranking, relations, rules
 from .plans import report
 from .sources import repositories
 from .sources.tables import table
@@ -204,7 +205,7 @@ _MARK = "CASE WHEN extension = '.py' THEN regexp_matches(l, '^#') ELSE regexp_ma
 add("comment_ratios", quality.comment_ratios, FILES, sql=f"WITH {F_}, g AS (SELECT file_id, repository, CAST(len(list_filter({lines(TEXT)}, lambda l: {_MARK})) AS INTEGER) AS comment_lines, CAST(len(list_filter({lines(TEXT)}, lambda l: l <> '')) AS INTEGER) AS filled_lines FROM f WHERE extension IN ({', '.join(map(quoted, quality.COMMENTED))})) SELECT *, CASE WHEN filled_lines > comment_lines THEN comment_lines * CAST(100 AS DOUBLE) / filled_lines ELSE CAST(0 AS DOUBLE) END AS comment_pct FROM g")
 add(
     "complexity_levels", quality.complexity_indicators, FILES,
-    sql=f"WITH {F_}, g AS (SELECT repository, coalesce(lines, 0) AS n, len(regexp_extract_all({TEXT}, '(?:def|function|func)\\s+\\w+')) AS functions, {MODULES} AS ms FROM f), s AS (SELECT repository, count(*) AS files, CAST(sum(n) AS BIGINT) AS total_lines, CAST(sum(functions) AS BIGINT) AS functions FROM g GROUP BY repository), m AS (SELECT repository, count(DISTINCT m) AS modules FROM (SELECT repository, unnest(ms) AS m FROM g) GROUP BY repository), j AS (SELECT repository, files, total_lines, functions, coalesce(modules, 0) AS modules FROM s LEFT JOIN m USING (repository)), k AS (SELECT *, files * 100 + total_lines + functions * 500 + modules * 2000 AS score FROM j) SELECT repository, files, total_lines, functions, modules, CASE WHEN score < 20000 THEN 'Low' WHEN score < 100000 THEN 'Medium' WHEN score < 300000 THEN 'High' ELSE 'Very High' END AS level FROM k",
+    sql=f"WITH {F_}, g AS (SELECT repository, coalesce(lines, 0) AS n, len(regexp_extract_all({TEXT}, '(?:def|function|func)\\s+\\w+')) AS functions, len(list_filter(string_split_regex({TEXT}, '(?:def|function|func)\\s+\\w+')[2:], lambda x: length(x) - length(replace(x, chr(10), '')) >= 50)) AS large, {MODULES} AS ms FROM f), s AS (SELECT repository, count(*) AS files, CAST(sum(n) AS BIGINT) AS total_lines, CAST(sum(functions) AS BIGINT) AS functions, CAST(sum(large) AS BIGINT) AS large_functions FROM g GROUP BY repository), m AS (SELECT repository, count(DISTINCT m) AS modules FROM (SELECT repository, unnest(ms) AS m FROM g) GROUP BY repository), j AS (SELECT repository, files, total_lines, functions, large_functions, coalesce(modules, 0) AS modules, total_lines / files AS mean_lines FROM s LEFT JOIN m USING (repository)), k AS (SELECT *, files * 100 + total_lines + functions * 500 + modules * 2000 AS score FROM j) SELECT repository, files, total_lines, functions, large_functions, modules, mean_lines, CASE WHEN score < 20000 THEN 'Low' WHEN score < 100000 THEN 'Medium' WHEN score < 300000 THEN 'High' ELSE 'Very High' END AS level FROM k",
 )
 add("large_files", quality.large_files, FILES, sql=f"WITH {F_} SELECT file_id, path, lines FROM f WHERE lines > 1000")
 add("script_findings", quality.script_findings, FILES)
@@ -363,6 +364,126 @@ add(
     sql=f"WITH {F_}, g AS (SELECT repository, {', '.join(f'{labelled(r)} AS {k}' for k, r in _LISTS.items())}, count(*) AS files, CAST(sum(coalesce(len(functions), 0)) AS BIGINT) AS functions, CAST(sum(coalesce(len(classes), 0)) AS BIGINT) AS classes FROM f GROUP BY repository) SELECT *, CASE WHEN classes * 10 > functions * 3 THEN 'object-oriented' WHEN functions > classes * 3 THEN 'functions' ELSE 'mixed' END AS style FROM g",
 )
 
+# Standards, advice and prompts
+def _values(table_: dict[str, tuple], *names: str) -> str:
+    rows = ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else f"CAST({x} AS {'DOUBLE' if isinstance(x, float) else 'INTEGER'})" for x in (k, *v)) + ")" for k, v in table_.items())
+    return f"(VALUES {rows}) v({', '.join(names)})"
+
+
+_TYPED = f"(SELECT repository, project_type FROM ({SQL['project_types']}) p)"
+add("standards", advice.standards, FILES, sql=f"SELECT repository, v.* FROM {_TYPED} t JOIN {_values(projects.STANDARDS, 'project_type', *projects.STANDARD)} USING (project_type)")
+add("context_messages", advice.context_messages, FILES, sql=f"SELECT repository, v.* FROM {_TYPED} t JOIN {_values({k: (m, ' '.join(r)) for k, (m, r) in advice.MESSAGES.items()}, 'project_type', 'message', 'recommendations')} USING (project_type)")
+add("context_scores", advice.context_scores, FILES)
+add("finding_kinds", lambda files: advice.findings_by(astmetrics.findings(files), files, "severity", "rule"), FILES)
+add("quality_advice", advice.quality_advice, FILES)
+add("performance_insights", advice.performance_insights, FILES)
+add("call_contexts", advice.call_contexts, FILES)
+_BY_RULE = "CASE application_type " + " ".join(f"WHEN {quoted(n)} THEN {k}" for k, n in enumerate(rules.APPLICATION_TYPES)) + " END"
+_APPLICATION = f"(SELECT repository, application_type FROM ({SQL['application_types']}) q WHERE repository IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repository ORDER BY files DESC, {_BY_RULE}) = 1)"
+_EVERY = f"(WITH {F_} SELECT DISTINCT repository FROM f WHERE repository IS NOT NULL)"
+_FOCUS = [f"CASE application_type {' '.join(f'WHEN {quoted(k)} THEN {quoted(v[at])}' for k, v in advice.FOCUS.items())} ELSE {quoted(advice.OTHER_FOCUS[at])} END" for at in (0, 1)]
+add("strategies", advice.strategies, FILES, sql=f"SELECT repository, application_type, {_FOCUS[0]} AS focus, {_FOCUS[1]} AS depth FROM {_EVERY} e LEFT JOIN {_APPLICATION} a USING (repository)")
+_COUNT = lambda *words: f"count_if({any_of(_NAME, words)})"
+add(
+    "architectures", advice.architectures, FILES,
+    sql=f"WITH {F_}, g AS (SELECT repository, count(*) AS files, {_COUNT('model')} AS m, {_COUNT('view')} AS v, {_COUNT('control')} AS c, {_COUNT('api')} AS a, {_COUNT('business', 'logic')} AS l, {_COUNT('data', 'db')} AS d, {_COUNT('service')} AS s, {_COUNT('component')} AS k FROM f WHERE repository IS NOT NULL GROUP BY repository) SELECT repository, {labelled([('MVC', 'm > 0 AND v > 0 AND c > 0'), ('Service-oriented', 's > 2'), ('Layered', 'a > 0 AND l > 0 AND d > 0'), ('Component-based', 'k > 1')])} AS patterns, CASE WHEN application_type = 'Web Application' THEN 'web' WHEN application_type = 'CLI Application' THEN 'command line' WHEN application_type = 'Machine Learning' THEN 'learning pipeline' WHEN files > 20 THEN 'many modules' WHEN files < 5 THEN 'script' ELSE 'modular' END AS style FROM g LEFT JOIN {_APPLICATION} t USING (repository)",
+)
+_PROFILE = f"p AS (SELECT c.repository, application_type, level, large_functions, coalesce(n, 0) AS entries, language FROM ({SQL['complexity_levels']}) c LEFT JOIN {_APPLICATION} a USING (repository) LEFT JOIN (SELECT repository, count(*) AS n FROM ({SQL['entry_points']}) e JOIN f USING (file_id) GROUP BY repository) n USING (repository) LEFT JOIN ({SQL['primary_language']}) l USING (repository) WHERE c.repository IS NOT NULL)"
+
+
+def _some(items: list[tuple[str, str]], most: int) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {t} END" for t, c in items) + f"], lambda l: l IS NOT NULL)[1:{most}]"
+
+
+_INSIGHTS = [("'type: ' || application_type", "application_type IS NOT NULL"), ("'easy to understand'", "level = 'Low'"), ("'divide into modules'", "level = 'High'"), ("'restructure'", "level = 'Very High'"), ("'one entry point'", "entries = 1"), ("'entry points: ' || entries", "entries > 5"), ("'language: ' || language", "language IS NOT NULL")]
+_ADVICE = [("'break large files up'", "level = 'High'"), ("'split large functions'", "large_functions > 3"), ("'add an entry point'", "entries = 0"), ("'join entry points'", "entries > 10"), ("'check requests and handle errors'", "application_type = 'Web Application'"), ("'describe the commands'", "application_type = 'CLI Application'"), ("'check the data and handle errors'", "application_type = 'Data Processing'"), ("'look for untidy parts in the diagrams'", "true")]
+add("visual_insights", advice.visual_insights, FILES, sql=f"WITH {F_}, {_PROFILE} SELECT repository, 'insight' AS kind, unnest({_some(_INSIGHTS, 6)}) AS item FROM p UNION ALL SELECT repository, 'recommendation', unnest({_some(_ADVICE, 5)}) FROM p")
+add(
+    "evolution_insights", advice.evolution_insights, "commits", "commit_files", "history",
+    sql=f"WITH r AS (SELECT DISTINCT repository FROM commits WHERE repository IS NOT NULL), g AS (SELECT repository, max((growth_pct, entity)) AS x FROM ({SQL['growth_alerts']}) q GROUP BY repository), b AS (SELECT repository, max((bug_fixes, path)) AS y FROM ({SQL['bug_prone']}) q GROUP BY repository), l AS (SELECT repository, count(*) AS n FROM ({SQL['forecasts']}) q WHERE priority = 'high' GROUP BY repository), j AS (SELECT * FROM r LEFT JOIN g USING (repository) LEFT JOIN b USING (repository) LEFT JOIN l USING (repository)) SELECT repository, 'grew fastest' AS insight, x[2] AS subject, CAST(x[1] AS DOUBLE) AS amount FROM j WHERE x IS NOT NULL UNION ALL SELECT repository, 'repaired most', y[2], CAST(y[1] AS DOUBLE) FROM j WHERE y IS NOT NULL UNION ALL SELECT repository, 'will grow too large', NULL, CAST(n AS DOUBLE) FROM j WHERE n > 0 UNION ALL SELECT repository, 'healthy', NULL, CAST(0 AS DOUBLE) FROM j WHERE x IS NULL AND y IS NULL",
+)
+_CORE = f"(SELECT repository, path, rank FROM ({SQL['core_files_top8']}) q)"
+add("function_inventory", advice.function_inventory, FILES, sql=f"WITH {F_} SELECT repository, substr(string_agg(path || ': ' || array_to_string(functions[1:5], ', ') || chr(10), '' ORDER BY rank, path), 1, 1000) AS inventory FROM f JOIN {_CORE} c USING (repository, path) WHERE len(functions) > 0 GROUP BY repository")
+_PATTERNS = ", ".join(f"count_if({k}) AS {k}" for k in rules.FILE_PATTERNS)
+_COUNTED = f"array_to_string(list_filter([{', '.join(f'CASE WHEN {k} > 0 THEN {quoted(k + chr(58) + chr(32))} || {k} END' for k in rules.FILE_PATTERNS)}], lambda l: l IS NOT NULL), '; ')"
+SQL["intelligence"] = f"WITH g AS (SELECT repository, count(*) AS files, {_PATTERNS} FROM ({SQL['file_patterns']}) q WHERE repository IS NOT NULL GROUP BY repository), s AS ({SQL['structures']}), i AS (SELECT repository, string_agg(import_line || ' (' || files || ')', '; ' ORDER BY rank) AS imports FROM ({SQL['import_frequency']}) q GROUP BY repository), u AS (SELECT repository, string_agg(purpose || ': ' || files, '; ' ORDER BY purpose) AS purposes FROM ({SQL['purposes']}) q GROUP BY repository), c AS ({SQL['coupling']}), t AS ({SQL['technologies']}) SELECT repository, g.files, {_COUNTED} AS patterns, layers, coalesce(i.imports, '') AS imports, tasks, purposes, coupling AS import_level, organisation AS function_level, technologies FROM g LEFT JOIN s USING (repository) LEFT JOIN i USING (repository) LEFT JOIN u USING (repository) LEFT JOIN c USING (repository) LEFT JOIN t USING (repository)"
+add("intelligence", report.intelligence, FILES, sql=SQL["intelligence"])
+_SECTION = lambda t, c: f"chr(10) || chr(10) || {quoted(t)} || chr(10) || coalesce(nullif(CAST({c} AS VARCHAR), ''), 'unknown')"
+_FACTS = " || ".join(_SECTION(t, c) for t, c in report.INSIGHT_SECTIONS)
+add("insight_prompts", report.insight_prompts, FILES, sql=f"SELECT repository, {quoted(report.INSIGHT_HEAD)} || repository || {_FACTS} || chr(10) || chr(10) || {quoted(report.INSIGHT_TAIL)} AS prompt FROM ({SQL['intelligence']}) q")
+_KEYED = f"k AS (SELECT repository, path, rank, 'File: ' || path || chr(10) || 'Purpose: ' || {_PURPOSE} || chr(10) || 'Functions: ' || coalesce(array_to_string(functions[1:5], ', '), '') || chr(10) || 'Classes: ' || coalesce(array_to_string(classes[1:3], ', '), '') || chr(10) || 'Imports: ' || coalesce(array_to_string(imports[1:5], ', '), '') || chr(10) || 'Lines: ' || coalesce(lines, 0) || chr(10) || substr(coalesce(content_preview, ''), 1, 400) AS text FROM f JOIN {_CORE} c USING (repository, path))"
+QUESTION = "How do the main parts work together?"
+add("mentor_prompts", lambda files: report.mentor_prompts(files, QUESTION), FILES, sql=f"WITH {F_}, {_KEYED}, x AS (SELECT repository, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS core FROM k GROUP BY repository) SELECT repository, 'System: ' || {quoted(report.MENTOR_HEAD)} || repository || {_FACTS} || {_SECTION('Key files', 'core')} || chr(10) || chr(10) || 'User: About ' || repository || ': {QUESTION}' || chr(10) || chr(10) || 'Assistant:' AS prompt FROM ({SQL['intelligence']}) q LEFT JOIN x USING (repository)")
+_OF_CORE = f"WITH {F_}, f2 AS (SELECT f.* FROM f JOIN {_CORE} c ON c.repository = f.repository AND c.path = f.path)"
+add("key_file_imports", report.key_file_imports, FILES, sql=f"{_OF_CORE}, n AS (SELECT repository, unnest(imports) AS import_line FROM f2), g AS (SELECT repository, import_line, count(*) AS files FROM n GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY repository ORDER BY files DESC, import_line) AS INTEGER) AS rank FROM g QUALIFY rank <= 5")
+add("key_file_levels", report.key_file_levels, FILES, sql=f"{_OF_CORE}, g AS (SELECT repository, count(*) AS files, CAST(sum(coalesce(len(functions), 0)) AS BIGINT) AS functions FROM f2 GROUP BY repository) SELECT *, CASE WHEN functions > 10 * files THEN 'complex' WHEN functions > 5 * files THEN 'moderate' ELSE 'simple' END AS level FROM g")
+
+# SQL of queries above that others are made of
+SQL["repository_report"] = f"WITH t AS (SELECT repository, files, total_lines FROM ({SQL['corpus_overview']}) q WHERE repository IS NOT NULL AND extension IS NULL) SELECT repository, t.files, t.total_lines, coalesce(language, 'none') AS language, technologies, level, coupling FROM t LEFT JOIN ({SQL['primary_language']}) l USING (repository) LEFT JOIN ({SQL['technologies']}) n USING (repository) LEFT JOIN ({SQL['complexity_levels']}) c USING (repository) LEFT JOIN ({SQL['coupling']}) k USING (repository)"
+_WINDOW = "array_to_string(ls[k : k + 4], chr(10))"
+SQL["script_findings"] = f"WITH {F_}, l AS (SELECT file_id, string_split({TEXT}, chr(10)) AS ls FROM f WHERE extension IN {SCRIPT}), k AS (SELECT file_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l), w AS (SELECT file_id, k, regexp_matches({_WINDOW}, 'document\\.querySelector|document\\.getElementById|\\$\\(') AS page, regexp_matches({_WINDOW}, '\\.(?:push|unshift)\\(') AS grows FROM k WHERE regexp_matches(ls[k], '\\bfor\\b\\s*(?:await\\s*)?\\(|\\bwhile\\s*\\(')) SELECT file_id, CAST(k AS INTEGER) AS line_no, CASE WHEN page THEN 'high' ELSE 'low' END AS severity, CASE WHEN page THEN 'dom_query_in_loop' ELSE 'array_growth_in_loop' END AS rule FROM w WHERE page OR grows"
+_GRADE = "CASE " + " ".join(f"WHEN score >= {n} THEN {quoted(g)}" for n, g in quality.GRADES) + " ELSE 'F' END"
+SQL["script_scores"] = f"WITH g AS (SELECT file_id, count(*) AS findings, {', '.join(f'count_if(severity = {quoted(k)}) AS {k}' for k in quality.COSTS)} FROM ({SQL['script_findings']}) q GROUP BY file_id), s AS (SELECT *, CAST(greatest(0, 100 - {' - '.join(f'{k} * {n}' for k, n in quality.COSTS.items())}) AS INTEGER) AS score FROM g) SELECT *, {_GRADE} AS grade FROM s"
+_OR = lambda c, n: f"coalesce(nullif(array_to_string({c}[1:{n}], ', '), ''), 'none')"
+SQL["file_prompts"] = f"WITH {F_} SELECT repository, f.path, 'File: ' || f.path || chr(10) || 'Type: ' || extension || ', lines: ' || coalesce(CAST(lines AS VARCHAR), 'unknown') || chr(10) || 'Imports: ' || {_OR('imports', 10)} || chr(10) || 'Functions: ' || {_OR('functions', 15)} || chr(10) || 'Classes: ' || {_OR('classes', 10)} || chr(10) || chr(10) || substr(coalesce(content_preview, ''), 1, 800) AS prompt FROM f JOIN ({SQL['priority_top12']}) r USING (repository, path)"
+SQL["batch_prompts"] = f"WITH k AS (SELECT repository, prompt, row_number() OVER (PARTITION BY repository ORDER BY path) - 1 AS k FROM ({SQL['file_prompts']}) q) SELECT repository, k // 3 AS batch, string_agg('FILE ' || (k % 3 + 1) || ': ' || prompt, chr(10) || chr(10) ORDER BY k) AS prompt FROM k GROUP BY repository, k // 3"
+_DRAWN = f"d AS (SELECT repository, {strip('unnest(string_split(diagram, chr(10)))')} AS line FROM ({SQL['interaction_diagrams']}) q)"
+_ARROW = "'^(\\w+)(?:\\[[^\\]]*\\])?\\s*-->\\s*(?:\\|([^|]*)\\|\\s*)?(\\w+)'"
+SQL["diagram_edges"] = f"WITH {_DRAWN} SELECT repository, regexp_extract(line, {_ARROW}, 1) AS from_id, regexp_extract(line, {_ARROW}, 3) AS to_id, nullif(regexp_extract(line, {_ARROW}, 2), '') AS label FROM d WHERE regexp_matches(line, {_ARROW})"
+_NODES = f"{_DRAWN}, n AS (SELECT DISTINCT repository, regexp_extract(line, '^(\\w+)\\[', 1) AS id, regexp_extract(line, '^\\w+\\[([^\\]]*)\\]', 1) AS label FROM d WHERE regexp_matches(line, '^\\w+\\[[^\\]]*\\]'))"
+add("diagram_components", lambda edges: diagrams.diagram_components(diagrams.interaction_diagrams(edges)), "edges", sql=f"WITH {_NODES}, a AS (SELECT x.repository, x.label || ' -> ' || y.label AS line FROM ({SQL['diagram_edges']}) e JOIN n x ON x.repository = e.repository AND x.id = from_id JOIN n y ON y.repository = e.repository AND y.id = to_id), c AS (SELECT repository, string_agg(label, chr(10) ORDER BY id) AS components FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY repository ORDER BY id) <= 10) q GROUP BY repository), t AS (SELECT repository, string_agg(line, chr(10) ORDER BY line) AS flow FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY repository ORDER BY line) <= 10) q GROUP BY repository) SELECT repository, components, flow FROM c LEFT JOIN t USING (repository)")
+_SHORT = "regexp_replace(CASE WHEN length(action) > 25 THEN substr(action, 1, 22) || '...' ELSE action END, '[\"\\[\\]{}()]', '', 'g')"
+SQL["execution_diagrams"] = f"WITH s AS (SELECT *, max(step) OVER (PARTITION BY file_id) AS last FROM ({SQL['flow_steps']}) q WHERE step <= 8) SELECT file_id, 'graph TD' || chr(10) || string_agg('    S' || step || '[\"' || {_SHORT} || '\"]' || chr(10) || '    class S' || step || ' ' || category || CASE WHEN step < last THEN chr(10) || '    S' || step || ' --> S' || (step + 1) ELSE '' END, chr(10) ORDER BY step) AS diagram FROM s GROUP BY file_id"
+_PART = lambda c: f"list_filter(string_split({c}, ', '), lambda x: x <> '')[1:2]"
+_DRAW = lambda c, mark, arrow: f"array_to_string(list_transform({_PART(c)}, lambda x, i: chr(10) || '    {mark}' || k || '_' || i || '[\"' || substr(regexp_replace(x, '[^a-zA-Z0-9 ]', '', 'g'), 1, 15) || '\"]' || chr(10) || '    ' || {arrow}), '')"
+_INTO, _OUT = "'I' || k || '_' || i || ' --> F' || k", "'F' || k || ' --> O' || k || '_' || i"
+SQL["data_flow_diagrams"] = f"WITH {F_}, d AS (SELECT repository, path, {STEM} AS stem, inputs, outputs, row_number() OVER (PARTITION BY repository ORDER BY complexity DESC, path) AS k FROM ({SQL['data_flows']}) q JOIN f USING (file_id) QUALIFY k <= 2) SELECT repository, 'graph TD' || string_agg(chr(10) || '    F' || k || '[\"' || stem || '\"]' || {_DRAW('inputs', 'I', _INTO)} || {_DRAW('outputs', 'O', _OUT)}, '' ORDER BY k) AS diagram FROM d GROUP BY repository"
+add(
+    "all_diagrams", flows.all_diagrams, FILES, "edges",
+    sql=f"WITH s AS ({SQL['flow_steps'].replace('<= 5)', '<= 1)')}), x AS ({SQL['execution_diagrams'].replace(SQL['flow_steps'], 'SELECT * FROM s')}) SELECT repository, 'execution' AS kind, diagram FROM x JOIN (SELECT DISTINCT file_id, repository FROM s) u USING (file_id) UNION ALL SELECT repository, 'interactions', diagram FROM ({SQL['interaction_diagrams']}) i UNION ALL SELECT repository, 'data_flow', diagram FROM ({SQL['data_flow_diagrams']}) w",
+)
+
 # Sources
-add("repository_inputs", repositories.repositories, "repo_inputs")
+_BARE = f"regexp_replace(regexp_replace({strip('input')}, '/+$', ''), '(?i)\\.git$', '')"
+_PATH = f"regexp_replace({_BARE}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*://)?(?:[^@/\\s]+@)?(?:[A-Za-z0-9\\-]+\\.)+[A-Za-z]+(?::[0-9]+)?[/:]', '')"
+_OWNER = "'^([A-Za-z0-9_.\\-]+)/([A-Za-z0-9_.\\-]+)(?:/.*)?$'"
+add("repository_inputs", repositories.repositories, "repo_inputs", sql=f"WITH p AS (SELECT {_PATH} AS x FROM repo_inputs WHERE input IS NOT NULL) SELECT lower(regexp_extract(x, {_OWNER}, 1)) || '/' || lower(regexp_extract(x, {_OWNER}, 2)) AS repository, count(*) AS inputs FROM p WHERE regexp_matches(x, {_OWNER}) GROUP BY 1")
 add("cache_hits", lambda entries: repositories.cached(entries, F.lit("2023-01-01 00:00:00").cast("timestamp_ntz"), 24 * 30), "repo_inputs", sql="SELECT md5(input || '_full') AS cache_key, arg_max(repository, added_at) AS repository, max(added_at) AS added_at FROM repo_inputs WHERE input IS NOT NULL AND added_at >= TIMESTAMP '2023-01-01' - INTERVAL 720 HOUR GROUP BY input")
+
+# The small corpus with results worked out by hand
+_GOLDEN: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "golden_functions": astmetrics.functions,
+    "golden_findings": astmetrics.findings,
+    "golden_sizes": astmetrics.function_sizes,
+    "golden_complexity": astmetrics.file_complexity,
+    "golden_quality": astmetrics.quality,
+    "golden_risks": risk_levels,
+    "golden_scores": lambda files: quality.findings_score(astmetrics.findings(files).join(latest(files, "repository"), "file_id"), "repository"),
+    "golden_insights": advice.performance_insights,
+    "golden_advice": advice.quality_advice,
+    "golden_kinds": lambda files: advice.findings_by(astmetrics.findings(files), files, "severity", "rule"),
+    "golden_roadmap": astmetrics.roadmap,
+    "golden_key_files": rules.key_files,
+    "golden_dependencies": relations.dependency_edges,
+    "golden_large_files": quality.large_files,
+    "golden_calls": lambda files: advice.call_contexts(files.filter("file_id IN (32, 42)")),
+}
+
+
+_SERVICE: dict[str, Callable[[DataFrame], DataFrame]] = {"golden_project_types": projects.project_types, "golden_typed_findings": projects.typed_findings, "golden_context": advice.context_scores}
+
+
+def _golden(operator: Callable[[DataFrame], DataFrame], texts: dict) -> Query:
+    return lambda spark, directory: operator(corpus.files(spark, texts))
+
+
+def _literal(columns: str, rows: list[tuple]) -> str:
+    names, types = zip(*(c.rsplit(" ", 1) for c in columns.split(", ")))
+    value = lambda x, t: f"CAST({'NULL' if x is None else quoted(x) if isinstance(x, str) else x} AS {t})"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(value, r, types)) + ")" for r in rows) + f") v({', '.join(names)})"
+
+
+for _operators, _texts in ((_GOLDEN, corpus.TEXTS), (_SERVICE, corpus.SERVICE)):
+    for _name, _operator in _operators.items():
+        QUERIES[_name] = _golden(_operator, _texts)
+        SQL[_name] = _literal(*corpus.GOLDENS[_name])
