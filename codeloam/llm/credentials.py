@@ -33,6 +33,10 @@ _ISSUED = re.compile(
 )
 _ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<u>[^\s:@/\"'`<>]*+):(?P<v>[^\s@/\"'`]{3,}+)@[A-Za-z0-9\[]")
 _HEADER = re.compile(r"(?i)\b(?P<k>basic|bearer|token|apikey)[ \t]+(?P<v>[A-Za-z0-9+/_=.\-]{8,}+)")
+#: A sentence that tells an account with its password: a word for signing in, a linking word, name / password.
+_LOGIN = re.compile(
+    r"(?i)\b(?:log[ -]?ins?|sign[ -]?in|credentials|accounts?|zugang|zugangsdaten|anmeldung|anmelden|identifiants?|connexion|compte|acceso|credenciales|cuenta|usuario|acesso|credenciais|conta)\b[^\n/]*?(?:\b(?:is|are|as|with|using|ist|sind|lautet|lauten|mit|als|est|sont|avec|es|son|con|é|são|com)\b|[:=])[ \t]+[\"'`]?[\w.@\-]+[\"'`]?[ \t]*/[ \t]*[\"'`]?(?P<v>[^\s\"'`/]{6,}+)"
+)
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END|\Z)", re.S)
 #: A line of a private key without its END mark: digits in base 64, quotes and glue around them, or a header.
@@ -68,7 +72,7 @@ _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
 _COMMENT = re.compile(r"(?://|#|/\*|^\s*\*|<!--|\"\"\"|''')")
 #: Any of these, in lower case, stands on a line that holds a credential.
-_TRIGGERS = "pass pwd kennwort contrase clave senha palavra parola wachtwoord secret token key jwt pat bot hmac live auth credential bearer basic akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat xox eyj sk_ rk_ pk_ npm_ pypi- sg. sk- hf_ dop_v1 ya29 ://".split()
+_TRIGGERS = "pass pwd kennwort contrase clave senha palavra parola wachtwoord secret token key jwt pat bot hmac live auth credential bearer basic akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat xox eyj sk_ rk_ pk_ npm_ pypi- sg. sk- hf_ dop_v1 ya29 :// login log-in sign-in zugang anmeld identifiant connexion compte account acceso cuenta usuario acesso conta".split() + ["log in", "sign in"]
 
 
 @cache
@@ -320,6 +324,10 @@ def _within(text: str, begin: int, finish: int, code: bool) -> list[tuple[int, i
     for m in _ADDRESS.finditer(joined):
         if is_password(m["v"], True) and not re.search(r"[{}$<>]", m["v"]):
             add(*m.span("v"), "address")
+    for m in _LOGIN.finditer(joined):
+        value = m["v"].rstrip(".,;:)")
+        if is_password(value, True):
+            add(m.start("v"), m.start("v") + len(value), "login")
     for m in _ISSUED.finditer(joined):
         if "EXAMPLE" not in m[0] and relative_entropy(m[0]) > 0.6 and not re.search(r"(?i)x{5,}|0{8,}|1234567890", m[0]):
             add(*m.span(), "issued token")

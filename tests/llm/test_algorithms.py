@@ -262,6 +262,14 @@ def test_credentials_in_arguments():
         assert credentials.credential_lines(line, ".py") == [], line
 
 
+def test_logins_in_sentences():
+    for line in ("Login for the staging box is coupon / zbWCGI!8d0dHK4 until the move is done.", "# Der Zugang zum Testsystem ist widget / Label%Tractor3399.", "Les identifiants sont otter / roster-socket-coupon-440, pour le moment.", "La cuenta de prueba es `lente` / `EW9FsJ%FFaxpO2`"):
+        assert credentials.credential_lines(line, ".md") == [1], line
+        assert credentials.masked(line, ".md").count(credentials.MASK) == 1
+    for line in ("The login is over HTTP / HTTPS1.1 only.", "The login form is in views / templates.", "Sign in with user / password1.", "Accounts are kept in data / accounts.", "The login is name / <password>."):
+        assert credentials.credential_lines(line, ".md") == [], line
+
+
 def test_long_credentials():
     r = random.Random(5)
     value = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=1600))
