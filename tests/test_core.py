@@ -245,3 +245,153 @@ def test_projects(spark):
     assert rows(projects.typed_findings(table), "file_id", "rule", "severity") == [(1, "complexity", "high")]
     assert rows(projects.structures(table)) == [("a/b", "Model Layer, View Layer", "Flask", "Data I/O", 2, 2, 1, "object-oriented")]
     assert ("a/b", "Data Processing", 1) in rows(projects.domains(table))
+
+
+def test_positions_in_ranges(spark):
+    from codeloam.functions.rank import positioned
+
+    data = [(g, n % 7, f"k{n:03}") for g in ("a", "b", None) for n in range(50)] + [("c", None, "x")]
+    table = spark.createDataFrame(data, "g string, v int, k string").repartition(5)
+    found = {(r["g"], r["k"]): (r["position"], r["total"]) for r in positioned(table, "g", F.desc("v"), "k").collect()}
+    for g in ("a", "b", None, "c"):
+        own = sorted((r for r in data if r[0] == g), key=lambda r: (-(r[1] if r[1] is not None else -1), r[2]))
+        assert [found[g, r[2]] for r in own] == [(n, len(own)) for n in range(1, len(own) + 1)]
+    assert positioned(table.limit(0), "g", "k").count() == 0
+
+
+def test_similar_files_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(i, f"{i}.py", "", {"repository": r.choice("pq"), "imports": r.sample("abcdefghijkl", r.choice((0, 1, 2, 4, 8, 10))) or None, "functions": [r.choice("uvwxyz") for _ in range(r.choice((0, 1, 3, 6, 12)))]}) for i in range(150)]
+    sets = {i: (m["repository"], set(m["imports"] or ()), set(m["functions"])) for i, _, _, m in data}
+    expected = []
+    for i, (p, a, b) in sets.items():
+        like = [(j, len(a & c), len(b & d)) for j, (q, c, d) in sorted(sets.items()) if j != i and p == q]
+        expected += [(i, *x) for x in like if x[1] * 10 > max(len(a), 1) * 3 or x[2] * 5 > max(len(b), 1)][:4]
+    assert sorted(tuple(x) for x in relations.similar_files(files(spark, *data)).collect()) == sorted(expected)
+
+
+def test_components_over_many_partitions(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = [(r.choice("rs"), f"n{r.randrange(120):03}", f"n{r.randrange(120):03}") for _ in range(110)] + [("hub", "m", f"n{k:03}") for k in range(200)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for p, a, b in pairs:
+        if a != b:
+            x, y = sorted((find((p, a)), find((p, b))))
+            parent[y] = x
+    sizes = {}
+    for x in list(parent):
+        sizes[find(x)] = sizes.get(find(x), 0) + 1
+    table = spark.createDataFrame(pairs, EDGES).repartition(7)
+    assert rows(graph.component_sizes(table)) == sorted(((*k, n) for k, n in sizes.items()), key=str)
+
+
+def test_blocks_by_definitions(spark):
+    body = "def f(a):\n" + "    x = a\n" * 30
+    table = files(spark, (1, "a.py", "import x\n\n\n" + body), (2, "b.py", body + "\n# end\n"), (3, "c.py", "def ("), (4, "d.c", body), (5, "e.py", None))
+    assert rows(duplicates.duplicate_definitions(table), "original_path", "original_line", "duplicate_path", "duplicate_line", "n_lines")[0] == ("a.py", 4, "b.py", 1, 21)
+
+
+def test_golden_results(spark):
+    from codeloam import queries
+
+    def plain(x):
+        return round(x, 9) if isinstance(x, float) else x
+
+    for operators, texts in ((queries._GOLDEN, queries.corpus.TEXTS), (queries._SERVICE, queries.corpus.SERVICE)):
+        table = queries.corpus.files(spark, texts)
+        for name, operator in operators.items():
+            columns, expected = queries.corpus.GOLDENS[name]
+            found = operator(table).select(*(c.rsplit(" ", 1)[0] for c in columns.split(", ")))
+            assert sorted((tuple(map(plain, x)) for x in found.collect()), key=str) == sorted((tuple(map(plain, x)) for x in expected), key=str), name
+
+
+def test_roadmap_phases(spark):
+    from codeloam import queries
+
+    assert {r["phase"] for r in astmetrics.roadmap(queries.corpus.files(spark)).collect()} == {2}
+
+
+def test_scores_by_context(spark):
+    from codeloam.operators import advice
+
+    types = spark.createDataFrame([("e", "educational"), ("r", "research"), ("p", "production"), ("x", "prototype"), ("n", None)], "repository string, project_type string")
+    found = spark.createDataFrame([(k, rule, s) for k in "erpx" for rule in ("complexity", "size", "other") for s in ("critical", "high", "medium", "low", "odd")], "repository string, rule string, severity string")
+    scores = {r[0]: (r["findings"], r["score"], r["grade"]) for r in advice.context_score(types, found).collect()}
+    # A rule's findings cost 37 points; 100 less what counts, and the points of the type.
+    assert scores == {"e": (15, pytest.approx(120 - 37 * 2), "F"), "r": (15, pytest.approx(110 - 37 * 2.7), "F"), "p": (15, 0.0, "F"), "x": (15, pytest.approx(115 - 37 * 3), "F"), "n": (0, 100.0, "A+")}
+    metrics = spark.createDataFrame([("bad", 11.0, 2, 3, 9.0), ("good", 10.0, 0, 0, 10.0), ("none", None, None, None, None)], "repository string, average_complexity double, duplicate_blocks long, large_functions long, comment_pct double")
+    told = rows(advice.advice_of(metrics), "repository", "advice")
+    assert told == [("bad", "add comments"), ("bad", "share repeated code"), ("bad", "split complex functions"), ("bad", "split large functions"), ("good", "nothing to mend"), ("none", "nothing to mend")]
+
+
+def test_evolution_insights(spark):
+    from codeloam.operators import advice
+
+    at = lambda k: DAY + timedelta(days=k)
+    commits = spark.createDataFrame([(f"c{k}", "r", at(k), "fix it", at(k)) for k in range(3)] + [("d", "calm", at(0), "add", at(0))], COMMITS)
+    changes = spark.createDataFrame([(f"c{k}", "r", "a.py", 1, 1) for k in range(3)], COMMIT_FILES)
+    table = spark.createDataFrame([("a.py::f", "r", f"c{k}", at(k), n, 1) for k, n in enumerate((10, 30, 90))], HISTORY)
+    assert rows(advice.evolution_insights(commits, changes, table)) == [("calm", "healthy", None, 0.0), ("r", "grew fastest", "a.py::f", 800.0), ("r", "repaired most", "a.py", 3.0), ("r", "will grow too large", None, 1.0)]
+
+
+def test_prompts_of_repositories(spark):
+    table = files(spark, (1, "main.py", "import os\n", {"imports": ["import os"], "functions": ["train_all", "load"], "classes": ["A"]}), (2, "user_model.py", "x"))
+    (prompt,) = rows(report.insight_prompts(table), "prompt")[0]
+    assert "Layers\nModel Layer" in prompt and "Commonest imports\nimport os (1)" in prompt and "Purposes\nCore Logic: 1; Entry Points: 1" in prompt
+    (mentor,) = rows(report.mentor_prompts(table, "how does it start?"), "prompt")[0]
+    assert "File: main.py\nPurpose: Entry Points\nFunctions: train_all, load" in mentor and mentor.endswith("User: About a/b: how does it start?\n\nAssistant:")
+    (general,) = rows(report.mentor_prompts(table, "What is OOP?"), "prompt")[0]
+    assert general.startswith("System: " + report.GENERAL_HEAD) and "a/b" not in general
+    said = spark.createDataFrame([("c", 1, "user", "b")], "conv string, turn int, role string, text string")
+    assert rows(prompts.message_prompts(said, "conv", ["turn"], "Human")) == [("c", "Human: b\n\nAssistant:")]
+
+
+def test_services():
+    calls, pauses = [], []
+
+    def call(prompt, key):
+        calls.append(key)
+        if key == "a":
+            raise prompts.Limited
+        if len(calls) < 4:
+            raise OSError
+        return f"{key}: {prompt}"
+
+    service = prompts.Service("s", call, ["a", "b"], 3, pauses.append)
+    assert service("p") == "b: p" and calls == ["a", "b", "b", "b"] and pauses == [1.0, 2.0] and service.keys.limited == {"a"} and service.available and service.requests == 1
+    service.keys.limit("b")
+    assert not service.available and service("p") is None
+    assert prompts.keys_of({"k_1": " x ", "k_2": "", "k_4": "y"}, "k") == ["x", "y"]
+    router = prompts.discovered({"one": "1"}, {"one": lambda s: (lambda p: None) if "one" in s else None, "two": lambda s: s["two"], "three": lambda s: lambda p: "ok"})
+    assert list(router.clients) == ["one", "three"] and router("p") == "ok"
+    assert router.status() == {"services": ["one", "three"], "available": ["one", "three"], "first": "one", "requests": 1, "answers": {"one": 0, "three": 1}, "failures": 0, "ready": True}
+    router.prefer("three")
+    assert router.status()["first"] == "three"
+    session = prompts.Session()
+    for k in range(6):
+        session.note(file=f"f{k % 4}", topic=f"t{k}", level="advanced")
+    session.say("user", "x")
+    assert session.progress == 100 and session.level == "advanced" and len(session.history) == 1
+    session.clear()
+    assert session.history == [] and prompts.Session().progress == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from codeloam.sources.tables import shared_folder
+
+    conf = SimpleNamespace(get=lambda k: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master=master)))
