@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Uses every core when the input has fewer splits than the cluster has cores; large inputs stay unshuffled."""
+    """Uses every core when a scan has fewer splits than the cluster has cores; large inputs and other plans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Join" in df._jdf.queryExecution().optimizedPlan().toString():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

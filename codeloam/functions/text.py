@@ -49,12 +49,17 @@ def record_text() -> Column:
     return F.coalesce(F.col("full_content"), F.col("content_preview"), F.lit(""))
 
 
-def latest(files: DataFrame, *keep: Column | str, key: str = "file_id", order: str = "loaded_at") -> DataFrame:
+def latest(files: DataFrame, *keep: Column | str, key: str = "file_id", order: str = "loaded_at", heavy: bool = False) -> DataFrame:
     """One row a ``key`` with the columns ``keep`` of its last delivery.
 
     Only the kept columns are shuffled, after partial aggregation, so features should be
-    computed before texts are dropped.
+    computed before texts are dropped. ``heavy`` ones are computed on every core even if
+    the input has few splits.
     """
+    if heavy:
+        from .arrow import spread
+
+        files = spread(files)
     columns = [F.col(c) if isinstance(c, str) else c for c in keep]
     rows = files.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(F.col(order).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("_order"), F.struct(*columns).alias("_kept"))
     return rows.groupBy("_key").agg(F.max_by("_kept", "_order").alias("_kept")).select(F.col("_key").alias(key), "_kept.*")

@@ -172,12 +172,12 @@ def _sizes(rows: DataFrame) -> DataFrame:
 
 def function_sizes(files: DataFrame) -> DataFrame:
     """(repository, small, medium, large, very_large, functions, mean_lines): up to 20, 50, 100 lines, and more."""
-    return _sizes(latest(files.filter(F.col("extension") == ".py"), "repository", syntax_summary().alias("s")))
+    return _sizes(latest(files.filter(F.col("extension") == ".py"), "repository", syntax_summary().alias("s"), heavy=True))
 
 
 def file_complexity(files: DataFrame) -> DataFrame:
     """(file_id, repository, functions, complexity): mean complexity of the sync functions of each Python file that parses; 0 without any."""
-    rows = latest(files.filter(F.col("extension") == ".py"), "repository", syntax_summary().alias("s"))
+    rows = latest(files.filter(F.col("extension") == ".py"), "repository", syntax_summary().alias("s"), heavy=True)
     return rows.filter("s.functions IS NOT NULL").select("file_id", "repository", "s.functions", "s.complexity")
 
 
@@ -192,7 +192,7 @@ def quality(files: DataFrame) -> DataFrame:
 
     text, e = record_text(), F.col("extension")
     commented = e.isin(*q.COMMENTED)
-    rows = written(latest(files, "repository", "path", "lines", syntax_summary().alias("s"), F.when(commented, q.comment_lines(text, e)).alias("c"), F.when(commented, q.filled_lines(text)).alias("n"), duplicates.block_column().alias("blocks")))
+    rows = written(latest(files, "repository", "path", "lines", syntax_summary().alias("s"), F.when(commented, q.comment_lines(text, e)).alias("c"), F.when(commented, q.filled_lines(text)).alias("n"), duplicates.block_column().alias("blocks"), heavy=True))
     share = F.when(F.col("n") > F.col("c"), F.col("c") * 100.0 / F.col("n")).when(F.col("n").isNotNull(), 0.0)
     files_of = rows.groupBy("repository").agg(F.avg("s.complexity").alias("average_complexity"), F.avg(share).alias("comment_pct"), F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"))
     copies = duplicates.duplication_of(files_of.select("repository", "total_lines"), duplicates.exploded_blocks(rows)).select("repository", "duplicate_blocks", "duplication_pct")

@@ -66,7 +66,7 @@ def code_blocks(files: DataFrame, blocks: Column | None = None) -> DataFrame:
 
     Blocks that hold only comments are left out. The digest is the md5 of the normalised block.
     """
-    return exploded_blocks(latest(files, "repository", "path", (block_column() if blocks is None else blocks).alias("blocks")))
+    return exploded_blocks(latest(files, "repository", "path", (block_column() if blocks is None else blocks).alias("blocks"), heavy=True))
 
 
 def duplicate_blocks(files: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ OPERATION_WORDS = ("initialize setup configure load save process execute run sta
 
 def exploded(files: DataFrame, items: Column, *names: str) -> DataFrame:
     """(file_id, pos, ...) of the items of each file's last delivery; pos counts from 1."""
-    rows = latest(files, items.alias("_items")).select("file_id", F.posexplode("_items").alias("_pos", "_item"))
+    rows = latest(files, items.alias("_items"), heavy=True).select("file_id", F.posexplode("_items").alias("_pos", "_item"))
     columns = [F.col("_item").alias(names[0])] if len(names) == 1 else [F.col(f"_item.{n}").alias(n) for n in names]
     return rows.select("file_id", (F.col("_pos") + 1).alias("pos"), *columns)
 

@@ -71,7 +71,7 @@ def similar_files(files: DataFrame, most: int = 4) -> DataFrame:
     """
     from ..sources.tables import written
 
-    rows = written(latest(files, "repository", *(F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))))).alias(k) for c, k in (("imports", "i"), ("functions", "f")))))
+    rows = latest(files, "repository", *(F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))))).alias(k) for c, k in (("imports", "i"), ("functions", "f"))))
     kinds = F.filter(F.array(F.struct(F.lit("i").alias("kind"), F.col("i").alias("items")), F.struct(F.lit("f").alias("kind"), F.col("f").alias("items"))), lambda x: F.size(x["items"]) > 0)
     sets = rows.filter("repository IS NOT NULL").select("file_id", "repository", F.explode(kinds).alias("k")).select("file_id", "repository", "k.kind", "k.items")
     first = lambda df, *by: df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("file_id"))).filter(F.col("_k") <= most + 1).drop("_k")
@@ -79,7 +79,7 @@ def similar_files(files: DataFrame, most: int = 4) -> DataFrame:
     need = F.when(F.col("kind") == "i", F.floor(n * 3 / 10)).otherwise(F.floor(n / 5)).cast("int") + 1
     sets = written(sets.withColumn("class", F.xxhash64("repository", "kind", "items")).withColumn("need", need))
     leading = first(sets.select("class", "file_id"), "class")
-    classes = written(sets.groupBy("class", "repository", "kind", "items", "need").agg(F.lit(1).alias("one")).drop("one"))
+    classes = sets.select("class", "repository", "kind", "items", "need").distinct()
     key = ["repository", "kind", "item"]
     items = classes.select("class", "repository", "kind", "need", "items", F.explode("items").alias("item"))
     by_item = first(sets.select("repository", "kind", "file_id", F.explode("items").alias("item")), *key).drop("_k")

@@ -58,14 +58,14 @@ def rule_labels(text: Column, rules: dict[str, str]) -> Column:
 
 def application_types(files: DataFrame) -> DataFrame:
     """(repository, application_type, files), how many files show each type."""
-    rows = latest(files, "repository", rule_labels(F.lower(record_text()), APPLICATION_TYPES).alias("types"))
+    rows = latest(files, "repository", rule_labels(F.lower(record_text()), APPLICATION_TYPES).alias("types"), heavy=True)
     return rows.select("repository", F.explode("types").alias("application_type")).groupBy("repository", "application_type").agg(F.count("*").alias("files"))
 
 
 def data_flows(files: DataFrame) -> DataFrame:
     """(file_id, inputs, transformations, outputs, complexity), joined names and their number; files without any are left out."""
     text = record_text()
-    rows = latest(files, rule_labels(text, INPUTS).alias("i"), rule_labels(F.lower(text), TRANSFORMATIONS).alias("t"), rule_labels(text, OUTPUTS).alias("o"))
+    rows = latest(files, rule_labels(text, INPUTS).alias("i"), rule_labels(F.lower(text), TRANSFORMATIONS).alias("t"), rule_labels(text, OUTPUTS).alias("o"), heavy=True)
     return rows.select("file_id", F.array_join("i", ", ").alias("inputs"), F.array_join("t", ", ").alias("transformations"), F.array_join("o", ", ").alias("outputs"), (F.size("i") + F.size("t") + F.size("o")).alias("complexity")).filter("complexity > 0")
 
 
@@ -81,7 +81,7 @@ def execution_pattern(text: Column) -> Column:
 
 
 def execution_patterns(files: DataFrame) -> DataFrame:
-    return latest(files, execution_pattern(record_text()).alias("execution_pattern"))
+    return latest(files, execution_pattern(record_text()).alias("execution_pattern"), heavy=True)
 
 
 def technologies(files: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ _FRAMEWORKS = f"""list_filter(CASE WHEN extension = '.py' THEN {_found("(?i)impo
 def top_frameworks(files: DataFrame, most: int = 8) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = latest(files.filter("full_content IS NOT NULL"), "repository", extract.frameworks(F.col("full_content"), F.col("extension")).alias("names"))
+    rows = latest(files.filter("full_content IS NOT NULL"), "repository", extract.frameworks(F.col("full_content"), F.col("extension")).alias("names"), heavy=True)
     counts = rows.select("repository", F.explode("names").alias("framework")).groupBy("repository", "framework").agg(F.count("*").alias("uses"))
     rank = F.row_number().over(Window.partitionBy("repository").orderBy(F.desc("uses"), "framework"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= most)
