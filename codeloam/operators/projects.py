@@ -21,7 +21,7 @@ STANDARDS = {
 STANDARD = ("complexity", "function_size", "comments", "copies", "speed_weight", "clarity_weight", "bonus")
 #: Words of domains, frameworks and tasks.
 DOMAINS = {
-    "Machine Learning": "model train predict neural torch tensorflow", "Web Service": "api endpoint request response server", "Data Processing": "process transform parse data csv json", "Command Line Tool": "cli command args parser",
+    "Machine Learning": ("model", "train", "predict", "neural", "torch", "tensorflow"), "Web Service": ("api", "endpoint", "request", "response", "server"), "Data Processing": ("process", "transform", "parse", "data", "csv", "json"), "Command Line Tool": ("cli", "command", "args", "parser"),
 }
 FRAMEWORKS = {"Flask": "flask", "Django": "django", "Streamlit": "streamlit", "FastAPI": "fastapi", "PyTorch": "torch", "TensorFlow": "tensorflow"}
 TASKS = {"Data Analysis": ("analyze", "process"), "Machine Learning": ("predict", "model"), "API Development": ("api", "endpoint"), "Data I/O": ("parse", "load")}
@@ -66,7 +66,7 @@ def _joined(*columns: str) -> Column:
 def domains(files: DataFrame) -> DataFrame:
     """(repository, domain, files): files that show the words of a domain."""
     text = _joined("content_preview", "functions", "imports")
-    rows = latest(files, "repository", labels((k, contains_any(text, w.split())) for k, w in DOMAINS.items()).alias("d"))
+    rows = latest(files, "repository", labels((k, contains_any(text, w)) for k, w in DOMAINS.items()).alias("d"))
     return rows.select("repository", F.explode("d").alias("domain")).groupBy("repository", "domain").agg(F.count("*").alias("files"))
 
 

@@ -9,28 +9,28 @@ from ..functions.text import basename, contains_any, labels, latest, record_text
 
 #: Words that mark what a file does.
 FILE_PATTERNS = {
-    "ml": ("torch tensorflow sklearn model train predict neural gradient loss optimizer dataset embedding", True),
-    "web": ("flask django fastapi streamlit request response route endpoint api http", False),
-    "data": ("pandas numpy csv json dataframe process transform parse load save", True),
-    "cli": ("argparse click main argv command parser args", False),
+    "ml": (("torch", "tensorflow", "sklearn", "model", "train", "predict", "neural", "gradient", "loss", "optimizer", "dataset", "embedding"), True),
+    "web": (("flask", "django", "fastapi", "streamlit", "request", "response", "route", "endpoint", "api", "http"), False),
+    "data": (("pandas", "numpy", "csv", "json", "dataframe", "process", "transform", "parse", "load", "save"), True),
+    "cli": (("argparse", "click", "main", "argv", "command", "parser", "args"), False),
 }
 #: Words of application types, tested on the lower-cased text.
 APPLICATION_TYPES = {
-    "Web Application": "app.route|router.|express|flask|django|fastapi|http|server|api|@app.|render_template|jsonify",
-    "CLI Application": "argparse|click|sys.argv|command line|cli|parser.add_argument",
-    "Data Processing": "pandas|numpy|csv|json|xml|data|dataframe|read_csv|to_csv|parse|transform",
-    "Game": "pygame|unity|game|player|score|level|sprite",
-    "Machine Learning": "model|train|predict|neural|network|learning|fit|score|accuracy|loss|epoch|batch",
-    "Desktop Application": "tkinter|pyqt|wxpython|kivy|gui|window|dialog",
-    "Testing": "test|assert|unittest|pytest|mock|fixture",
-    "Database": "database|sql|sqlite|postgres|mysql|mongodb|connection|query|table|schema",
+    "Web Application": ("app.route", "router.", "express", "flask", "django", "fastapi", "http", "server", "api", "@app.", "render_template", "jsonify"),
+    "CLI Application": ("argparse", "click", "sys.argv", "command line", "cli", "parser.add_argument"),
+    "Data Processing": ("pandas", "numpy", "csv", "json", "xml", "data", "dataframe", "read_csv", "to_csv", "parse", "transform"),
+    "Game": ("pygame", "unity", "game", "player", "score", "level", "sprite"),
+    "Machine Learning": ("model", "train", "predict", "neural", "network", "learning", "fit", "score", "accuracy", "loss", "epoch", "batch"),
+    "Desktop Application": ("tkinter", "pyqt", "wxpython", "kivy", "gui", "window", "dialog"),
+    "Testing": ("test", "assert", "unittest", "pytest", "mock", "fixture"),
+    "Database": ("database", "sql", "sqlite", "postgres", "mysql", "mongodb", "connection", "query", "table", "schema"),
 }
 #: Marks of data inputs and outputs, case-sensitive, and of transformations, lower-cased.
-INPUTS = {"File input": "open(", "Network/API input": "requests.|fetch(|http|api", "Database input": "sql|query|database|db.", "User input": "input(|stdin|argv", "Environment variables": "environ"}
-TRANSFORMATIONS = {"Data parsing": "parse", "Data conversion": "convert", "Data transformation": "transform", "Data filtering": "filter", "Data mapping": "map", "Data sorting": "sort", "Data joining": "join", "Data merging": "merge", "Data splitting": "split", "Data formatting": "format"}
-OUTPUTS = {"File output": "write(|save(|dump", "Console output": "print(|console.log|stdout", "Function return value": "return |yield ", "Response/Render output": "response|render|send"}
+INPUTS = {"File input": ("open(",), "Network/API input": ("requests.", "fetch(", "http", "api"), "Database input": ("sql", "query", "database", "db."), "User input": ("input(", "stdin", "argv"), "Environment variables": ("environ",)}
+TRANSFORMATIONS = {"Data parsing": ("parse",), "Data conversion": ("convert",), "Data transformation": ("transform",), "Data filtering": ("filter",), "Data mapping": ("map",), "Data sorting": ("sort",), "Data joining": ("join",), "Data merging": ("merge",), "Data splitting": ("split",), "Data formatting": ("format",)}
+OUTPUTS = {"File output": ("write(", "save(", "dump"), "Console output": ("print(", "console.log", "stdout"), "Function return value": ("return ", "yield "), "Response/Render output": ("response", "render", "send")}
 #: Words whose occurrences score how a file runs, in order of precedence.
-EXECUTION = {"sequential": "step|then|next|after", "event_driven": "event|handler|callback|listener", "loop_based": "for|while|iterate|repeat", "conditional": "if|switch|case|condition", "parallel": "thread|async|concurrent|parallel", "pipeline": "pipe|chain|flow|pipeline"}
+EXECUTION = {"sequential": ("step", "then", "next", "after"), "event_driven": ("event", "handler", "callback", "listener"), "loop_based": ("for", "while", "iterate", "repeat"), "conditional": ("if", "switch", "case", "condition"), "parallel": ("thread", "async", "concurrent", "parallel"), "pipeline": ("pipe", "chain", "flow", "pipeline")}
 #: Technologies by extension, in order, and by root file.
 TECHNOLOGIES = (("Python", (".py",)), ("JavaScript", (".js", ".jsx")), ("TypeScript", (".ts", ".tsx")), ("Java", (".java",)), ("C/C++", (".cpp", ".c")), ("Go", (".go",)), ("Rust", (".rs",)), ("Ruby", (".rb",)), ("PHP", (".php",)), ("C#", (".cs",)))
 ROOT_FILES = (("Node.js", "package.json"), ("Python Package", "requirements.txt"), ("Docker", "dockerfile"), ("Python Package", "setup.py"))
@@ -49,11 +49,11 @@ def file_patterns(files: DataFrame) -> DataFrame:
     """(file_id, repository, ml, web, data, cli): which words of FILE_PATTERNS occur in preview, imports and functions."""
     narrow = joined(F.col("content_preview"), F.array_join("imports", " "))
     wide = joined(F.col("content_preview"), F.array_join("imports", " "), F.array_join("functions", " "))
-    return latest(files, "repository", *(contains_any(wide if with_functions else narrow, words.split()).alias(name) for name, (words, with_functions) in FILE_PATTERNS.items()))
+    return latest(files, "repository", *(contains_any(wide if with_functions else narrow, words).alias(name) for name, (words, with_functions) in FILE_PATTERNS.items()))
 
 
-def rule_labels(text: Column, rules: dict[str, str]) -> Column:
-    return labels((name, contains_any(text, words.split("|"))) for name, words in rules.items())
+def rule_labels(text: Column, rules: dict[str, tuple[str, ...]]) -> Column:
+    return labels((name, contains_any(text, words)) for name, words in rules.items())
 
 
 def application_types(files: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def data_flows(files: DataFrame) -> DataFrame:
 def execution_pattern(text: Column) -> Column:
     """The class of EXECUTION with most occurrences of its words; the first of equals."""
     low = F.lower(text)
-    scores = {name: sum(((F.length(low) - F.length(F.replace(low, F.lit(w)))) / len(w) for w in words.split("|")), F.lit(0)) for name, words in EXECUTION.items()}
+    scores = {name: sum(((F.length(low) - F.length(F.replace(low, F.lit(w)))) / len(w) for w in words), F.lit(0)) for name, words in EXECUTION.items()}
     best = F.greatest(*scores.values())
     out = None
     for name, score in scores.items():

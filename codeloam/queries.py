@@ -141,18 +141,18 @@ add("todo_comments", extract.todo_comments, FILES, sql=unnested(f"list_transform
 
 # Rules
 _NARROW, _WIDE = "lower(concat_ws(chr(10), content_preview, array_to_string(imports, ' ')))", "lower(concat_ws(chr(10), content_preview, array_to_string(imports, ' '), array_to_string(functions, ' ')))"
-add("file_patterns", rules.file_patterns, FILES, sql=f"WITH {F_} SELECT file_id, repository, {', '.join(f'{any_of(_WIDE if w else _NARROW, words.split())} AS {n}' for n, (words, w) in rules.FILE_PATTERNS.items())} FROM f")
+add("file_patterns", rules.file_patterns, FILES, sql=f"WITH {F_} SELECT file_id, repository, {', '.join(f'{any_of(_WIDE if w else _NARROW, words)} AS {n}' for n, (words, w) in rules.FILE_PATTERNS.items())} FROM f")
 
 
-def _rule_sql(x: str, table_: dict[str, str]) -> list[tuple[str, str]]:
-    return [(n, any_of(x, w.split("|"))) for n, w in table_.items()]
+def _rule_sql(x: str, table_: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    return [(n, any_of(x, w)) for n, w in table_.items()]
 
 
 add("application_types", rules.application_types, FILES, sql=f"WITH {F_}, n AS (SELECT repository, unnest(list_filter([{', '.join(f'CASE WHEN {c} THEN {quoted(n)} END' for n, c in _rule_sql(f'lower({TEXT})', rules.APPLICATION_TYPES))}], lambda l: l IS NOT NULL)) AS application_type FROM f) SELECT repository, application_type, count(*) AS files FROM n GROUP BY ALL")
 _FLOWS = {"inputs": (TEXT, rules.INPUTS), "transformations": (f"lower({TEXT})", rules.TRANSFORMATIONS), "outputs": (TEXT, rules.OUTPUTS)}
 add("data_flows", rules.data_flows, FILES, sql=f"WITH {F_}, g AS (SELECT file_id, {', '.join(f'{labelled(_rule_sql(x, r))} AS {n}' for n, (x, r) in _FLOWS.items())}, CAST({' + '.join(f'CAST({c} AS INTEGER)' for x, r in _FLOWS.values() for _, c in _rule_sql(x, r))} AS INTEGER) AS complexity FROM f) SELECT * FROM g WHERE complexity > 0")
 _LOW = f"lower({TEXT})"
-_SCORES = {n: " + ".join(f"(length({_LOW}) - length(replace({_LOW}, {quoted(w)}, ''))) // {len(w)}" for w in words.split("|")) for n, words in rules.EXECUTION.items()}
+_SCORES = {n: " + ".join(f"(length({_LOW}) - length(replace({_LOW}, {quoted(w)}, ''))) // {len(w)}" for w in words) for n, words in rules.EXECUTION.items()}
 add("execution_patterns", rules.execution_patterns, FILES, sql=f"WITH {F_}, g AS (SELECT file_id, {', '.join(f'{s} AS s{k}' for k, s in enumerate(_SCORES.values()))} FROM f) SELECT file_id, CASE {' '.join(f'WHEN s{k} = greatest({chr(44).join(f"s{j}" for j in range(len(_SCORES)))}) THEN {quoted(n)}' for k, n in enumerate(_SCORES))} END AS execution_pattern FROM g")
 _NAME = f"lower({BASE})"
 _PURPOSE = f"CASE WHEN {any_of(_NAME, ('main', 'app'))} THEN 'Entry Points' WHEN contains({_NAME}, 'test') THEN 'Tests' WHEN {any_of(_NAME, ('config', 'settings'))} THEN 'Configuration' WHEN {any_of(_NAME, ('util', 'helper'))} THEN 'Utilities' ELSE 'Core Logic' END"
@@ -356,7 +356,7 @@ add(
 )
 add("typed_findings", projects.typed_findings, FILES)
 _ALL = "lower(concat_ws(chr(10), content_preview, array_to_string(functions, ' '), array_to_string(imports, ' ')))"
-add("domains", projects.domains, FILES, sql=f"WITH {F_} " + " UNION ALL ".join(f"SELECT repository, {quoted(k)} AS domain, count(*) AS files FROM f WHERE {any_of(_ALL, w.split())} GROUP BY repository" for k, w in projects.DOMAINS.items()))
+add("domains", projects.domains, FILES, sql=f"WITH {F_} " + " UNION ALL ".join(f"SELECT repository, {quoted(k)} AS domain, count(*) AS files FROM f WHERE {any_of(_ALL, w)} GROUP BY repository" for k, w in projects.DOMAINS.items()))
 _IMPORTED, _FUNCTIONS = "lower(coalesce(array_to_string(imports, ' '), ''))", "lower(coalesce(array_to_string(functions, ' '), ''))"
 _LISTS = {"layers": [(k, f"bool_or({any_of(_NAME, w)})") for k, w in projects.LAYERS.items()], "frameworks": [(k, f"bool_or({any_of(_IMPORTED, [w])})") for k, w in projects.FRAMEWORKS.items()], "tasks": [(k, f"bool_or({any_of(_FUNCTIONS, w)})") for k, w in projects.TASKS.items()]}
 add(

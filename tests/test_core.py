@@ -395,3 +395,31 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,512]"):
         with pytest.raises(RuntimeError):
             shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master=master)))
+
+
+def test_rules_by_words_written_out(spark):
+    """Labels by words given here, not taken from the tables of rules."""
+    label = {
+        "@app.route('/')": "Web Application", "import argparse": "CLI Application", "df.to_csv(x)": "Data Processing", "import pygame": "Game", "loss.epoch": "Machine Learning", "import tkinter": "Desktop Application", "import unittest": "Testing", "import sqlite3": "Database",
+    }
+    table = files(spark, *((n, f"f{n}.py", text) for n, text in enumerate(label)))
+    found = {r["file_id"]: set(r["t"]) for r in table.select("file_id", rules.rule_labels(F.lower("full_content"), rules.APPLICATION_TYPES).alias("t")).collect()}
+    assert all(kind in found[n] for n, kind in enumerate(label.values()))
+    flows_of = {
+        "open(x)": ("File input", "", ""), "requests.get(x)": ("Network/API input", "", ""), "run_sql(x)": ("Database input", "", ""), "sys.argv": ("User input", "", ""), "os.environ": ("Environment variables", "", ""), "parse": ("", "Data parsing", ""), "convert": ("", "Data conversion", ""),
+        "Sort": ("", "Data sorting", ""), "merge": ("", "Data merging", ""), "fh.write(x)": ("", "", "File output"), "console.log(x)": ("", "", "Console output"), "yield x": ("", "", "Function return value"), "render": ("", "", "Response/Render output"),
+    }
+    table = files(spark, *((n, f"f{n}.py", text) for n, text in enumerate(flows_of)))
+    assert {r[0]: tuple(r[1:4]) for r in rules.data_flows(table).collect()} == dict(enumerate(flows_of.values()))
+    runs = {"callback listener": "event_driven", "while repeat": "loop_based", "switch case": "conditional", "async thread": "parallel", "pipeline": "pipeline", "next step": "sequential", "x": "sequential"}
+    table = files(spark, *((n, f"f{n}.py", text) for n, text in enumerate(runs)))
+    assert dict(rows(rules.execution_patterns(table))) == dict(enumerate(runs.values()))
+    calls = {"load_rows": "data", "compute_it": "processing", "publish": "output", "launch": "control", "connect_to": "communication", "foo": "operation"}
+    names = spark.createDataFrame([(c,) for c in calls], "n string")
+    assert [r[0] for r in names.select(extract.operation_class(F.col("n"))).collect()] == list(calls.values())
+    shown = {"if x:": "conditional", "for a in b:": "loop", "while x:": "conditional_loop", "try:": "exception_handling", "with a as b:": "context_management", "async def f(": "async_operation", "await x": "async_wait"}
+    table = files(spark, *((n, f"f{n}.py", text) for n, text in enumerate(shown)))
+    assert {(r[0], r[1]) for r in extract.counted(table, extract.CONTROL).collect()} >= set(enumerate(shown.values()))
+    names = {"main.py": "Entry Points", "my_app.js": "Entry Points", "test_x.py": "Tests", "settings.py": "Configuration", "helpers.go": "Utilities", "core.c": "Core Logic"}
+    paths = spark.createDataFrame([(f"d/{p}",) for p in names], "p string")
+    assert [r[0] for r in paths.select(rules.purpose(F.col("p"))).collect()] == list(names.values())
