@@ -75,7 +75,7 @@ class PassageIndex:
                 n = len(w) - run + 1
                 self.items.append((item, code_points(" " + " ".join(w) + " "), ends[:n], ends[run:] + 1))
         shortest = min((int((e - s).min()) for _, _, s, e in self.items), default=2 * run + 1)
-        self.q = max(4, min(2 * run, shortest // (edits + 2)) if edits else min(2 * run, shortest))
+        self.q = max(4, min(2 * run, shortest // (edits + 3)) if edits else min(2 * run, shortest))
         #: The lemma's bound for each passage of an item, the least of them for each item, and that of all.
         self.bounds = [np.maximum(1, e - s - self.q + 1 - edits * self.q) for _, _, s, e in self.items]
         self.least = np.array([b.min() for b in self.bounds], np.int64)
