@@ -18,7 +18,7 @@ from .prose import SEEDS
 
 #: Phrases of error pages, failed services, script notices and stand-in text, by kind, in lower case.
 PHRASES = {
-    "error": """explanation unavailable|the model service did not respond in time|did not respond in time|please retry later|rate limit exceeded|too many requests|for key #|request id
+    "error": """explanation unavailable|the model service did not respond in time|did not respond in time|please retry later|rate limit exceeded|too many requests|request id
 oops!|something went wrong|on our side|on our end|try again in|try again later|please try again|minutes|the requested page|the requested url|could not be shown|could not be found|was not found on this server|was not found|does not exist|page not found|reference
 access to this page was denied|access to this page has been denied|access denied|permission denied|you don't have permission|please go back|contact the site owner|contact the administrator|internal server error|service unavailable|service temporarily unavailable|the service is temporarily unavailable|the service is currently unavailable|bad gateway|gateway timeout|gateway time-out|bad request|not found|forbidden|unauthorized|an error occurred|an error has occurred|unexpected error|while processing your request|no response from the model|the model returned no answer|quota exceeded|session expired|your session has expired|please log in|please sign in|to continue|connection timed out|request timed out|failed to load|failed to generate|could not be generated|no explanation available|analysis failed|unable to connect|the server
 der dienst ist zurzeit nicht erreichbar|ist zurzeit nicht erreichbar|derzeit nicht verfügbar|nicht erreichbar|bitte versuchen sie es später erneut|versuchen sie es später|die angeforderte seite|wurde nicht gefunden|nicht gefunden|zugriff verweigert|bitte melden sie sich an|melden sie sich an|etwas ist schiefgelaufen|ein fehler ist aufgetreten|interner serverfehler|zu viele anfragen|keine berechtigung|fehler
